@@ -20,22 +20,25 @@ SALTS = 16
 
 def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | None = None,
          next_fill: dict | None = None, sums: dict | None = None, lags: dict | None = None,
-         leads: dict | None = None, tie: str | None = None, block: int = BLOCK) -> DataFrame:
+         leads: dict | None = None, fill_before: dict | None = None, tie: str | None = None,
+         block: int = BLOCK) -> DataFrame:
     """Add ordered columns.
 
     fill       out -> column: latest non-null value at or before the row
+    fill_before out -> column: latest non-null value strictly before the row
     next_fill  out -> column: next non-null value at or after the row
     sums       out -> column: running sum up to and including the row
     lags       out -> column: value of the row before (null for the first)
     leads      out -> column: value of the row after (null for the last)
     tie        column deciding the order of rows with equal position
     """
-    fill, next_fill, sums, lags, leads = (d or {} for d in (fill, next_fill, sums, lags, leads))
+    fill, next_fill, sums, lags, leads, earlier = (d or {} for d in (fill, next_fill, sums, lags, leads, fill_before))
+    carry_on = {**fill, **earlier}
     order = [F.col(pos)] + ([F.col(tie)] if tie else [])
     back = [c.desc() for c in order]
     at = F.struct(*order)
     inputs = {f"_in_{o}": F.col(c) if isinstance(c, str) else c
-              for d in (fill, next_fill, sums, lags, leads) for o, c in d.items()}
+              for d in (fill, next_fill, sums, lags, leads, earlier) for o, c in d.items()}
     base = df.withColumns({**inputs, "_blk": F.floor(F.col(pos) / block).cast("bigint")})
 
     fwd = Window.partitionBy(*keys, "_blk").orderBy(*order)
@@ -46,6 +49,8 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     inside = {}
     for o in fill:
         inside[f"_w_{o}"] = F.last(f"_in_{o}", ignorenulls=True).over(upto)
+    for o in earlier:
+        inside[f"_w_{o}"] = F.last(f"_in_{o}", ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, -1))
     for o in next_fill:
         inside[f"_w_{o}"] = F.last(f"_in_{o}", ignorenulls=True).over(from_here)
     for o in sums:
@@ -57,7 +62,7 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     local = base.withColumns(inside)
 
     aggs = []
-    for o in fill:
+    for o in carry_on:
         aggs.append(F.max(F.when(F.col(f"_in_{o}").isNotNull(), F.struct(at.alias("p"), F.col(f"_in_{o}").alias("v"))))
                     .alias(f"_s_{o}"))
     for o in next_fill:
@@ -73,7 +78,7 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = {}
-    for o in fill:
+    for o in carry_on:
         carried[f"_c_{o}"] = F.last(f"_s_{o}", ignorenulls=True).over(before)["v"]
     for o in next_fill:
         carried[f"_c_{o}"] = F.last(f"_s_{o}", ignorenulls=True).over(after)["v"]
@@ -89,7 +94,7 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     joined = local.join(edges, match & (F.col("_blk") == F.col("_kb")), "left")
     final = {}
-    for o in [*fill, *next_fill]:
+    for o in [*carry_on, *next_fill]:
         final[o] = F.coalesce(f"_w_{o}", f"_c_{o}")
     for o in sums:
         final[o] = F.coalesce(F.col(f"_w_{o}"), F.lit(0)) + F.coalesce(F.col(f"_c_{o}"), F.lit(0))
@@ -99,6 +104,22 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     return joined.select(*kept, *[e.alias(o) for o, e in final.items()])
 
 
+def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *steps, block: int = BLOCK) -> DataFrame:
+    """Columns that look at most `reach` rows ahead or behind, in one shuffle, for consecutive positions.
+
+    Rows near a block edge are copied into the neighbouring block, so every block
+    sees all it needs; the copies leave at the end. Each step maps a window over
+    (group, block) to new columns.
+    """
+    own = F.floor(F.col(pos) / block).cast("bigint")
+    near = [F.floor((F.col(pos) + d) / block).cast("bigint") for d in (-reach, 0, reach)]
+    out = df.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(*near))))
+    w = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    for step in steps:
+        out = out.withColumns(step(w))
+    return out.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own")
+
+
 def number_rows(df: DataFrame, keys: list[str], pos: str, out: str = "line_no", tie: str | None = None) -> DataFrame:
     """Consecutive numbers from 0 in position order, for groups of any size."""
     return scan(df, keys, pos, sums={out: F.lit(1).cast("bigint")}, tie=tie).withColumn(out, F.col(out) - 1)
