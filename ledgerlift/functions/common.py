@@ -60,3 +60,16 @@ def staged(df: DataFrame, *steps: dict) -> DataFrame:
 
 def money(c) -> Column:
     return col(c).cast("decimal(18,2)")
+
+
+def settle(df: DataFrame, values: Column, keep=None) -> DataFrame:
+    """Add the fields of a struct expression as columns, computed once per row.
+
+    The struct goes through a one-element generator. Filters later in the plan are
+    then not pushed through it, which would repeat long text expressions in every
+    filter. `keep` takes the struct and drops the row when it is false.
+    """
+    one = F.array(values)
+    names = df.select(values.alias("_v")).schema["_v"].dataType.fieldNames()
+    return df.select(*[c for c in df.columns if c not in names],
+                     F.inline(one if keep is None else F.filter(one, keep)))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ledgerlift import lexicon as X
 from ledgerlift.functions.common import col, strip
 
-LIMIT = 999_999_999
-
 
 def _digits(c: Column) -> Column:
     """Sign, digits and dots of a printed number: '(5)' and '5-' are negative, Cr/Dr and commas go."""
@@ -18,20 +16,19 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(F.translate(t, "(", "-"), r"[^0-9.\-]", "")
 
 
+def _value(raw: Column) -> Column:
+    """Exact value of a printed number; null for dates, unparsable text and magnitudes of a thousand million or more."""
+    return F.when(~raw.rlike(X.DATE_LIKE), _digits(raw)).try_cast("decimal(18,9)")
+
+
 def clean_number(c) -> Column:
     """Printed money to decimal(18,2); dates, unparsable text and values beyond the limit are 0."""
-    raw = col(c)
-    value = _digits(raw).try_cast("decimal(38,6)")
-    ok = ~raw.rlike(X.DATE_LIKE) & value.isNotNull() & (F.abs(value) <= F.lit(LIMIT))
-    return F.when(ok, F.round(value, 2).cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
+    return F.coalesce(F.round(_value(col(c)), 2).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
 
 
 def clean_int(c) -> Column:
     """Printed quantity to bigint, truncating toward zero."""
-    raw = col(c)
-    value = _digits(raw).try_cast("decimal(38,6)")
-    ok = ~raw.rlike(X.DATE_LIKE) & value.isNotNull() & (F.abs(value) < F.lit(LIMIT + 1))
-    return F.when(ok, value.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.coalesce(_value(col(c)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def is_numeric(c) -> Column:

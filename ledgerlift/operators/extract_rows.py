@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift import lexicon as X
-from ledgerlift.functions.common import has_any, money, strip
+from ledgerlift.functions.common import has_any, let, money, settle, strip
 from ledgerlift.functions.entities import split_store
 from ledgerlift.functions.numbers import clean_int, clean_number, is_numeric
 from ledgerlift.functions.rows import (
@@ -52,9 +52,9 @@ def annotate(lines: DataFrame, facts: DataFrame, report_type: str) -> DataFrame:
     """Lines of one layout with cleaned text, words, trailing numbers and line classes."""
     df = attach(lines.select("doc_id", "page_no", "line_no", F.col("text").alias("raw")),
                 facts.select("doc_id", "agency_name", "company", "table_line"), ["doc_id"], "line_no")
-    df = df.withColumn("t", clean_line("raw")).where((F.col("t") != "") & ~F.col("t").startswith("---"))
+    df = settle(df, F.struct(clean_line("raw").alias("t")), lambda v: (v["t"] != "") & ~v["t"].startswith("---"))
     df = df.withColumns({"low": F.lower("t"), "toks": F.split("t", r"\s+"), "dated": F.col("raw").rlike(X.DATE)})
-    df = df.withColumn("p", peel("toks")).withColumns({"nums": F.col("p.nums"), "words": F.col("p.words")}).drop("p")
+    df = settle(df, peel("toks"))
     n = F.size("nums")
     first = F.get("toks", F.lit(0))
     small = (F.size("toks") >= 2) & (n == 1) & F.get("nums", F.lit(0)).rlike(r"^0*\d{1,3}[\.\-\)]?$")
@@ -208,11 +208,8 @@ def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMAR
     name = strip(F.regexp_replace(strip("combined"), r"[\d.,\-\s]+$", ""))
     if report_type == "MFR_CUSTOMER_SUMMARY":
         amount = largest("nums")
-        name = strip(F.regexp_replace(name, r"(?i)^[A-Z]+\s+Default\s*", ""))
-        maker = F.get(F.split("company", r"\s+"), F.lit(0))
-        cut = F.substring(name, F.length(maker) + 1, F.length(name))
-        starts = (F.length(maker) > 2) & F.lower(name).startswith(F.lower(maker)) & ~cut.rlike(r"^\w")
-        name = F.regexp_replace(strip(F.when(starts, strip(cut)).otherwise(name)), r"^\d+[\.\-]?\s+", "")
+        name = let(strip(F.regexp_replace(name, r"(?i)^[A-Z]+\s+Default\s*", "")), _without_maker)
+        name = F.regexp_replace(strip(name), r"^\d+[\.\-]?\s+", "")
     else:
         amount = period_total("nums") if report_type == "QUARTERLY_SUMMARY" else clean_number(nth("nums", -1))
         name = strip(F.regexp_replace(name, r"^\d+[\.\-:]?\s*", ""))
@@ -223,11 +220,18 @@ def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMAR
             .withColumns({"amount0": money(F.lit(0)), "class": F.lit("row"), "combined": F.lit(""),
                           "nums": F.array().cast("array<string>")})
         rows = rows.select(*extra.columns).unionByName(extra)
-    rows = split_store(rows, "store_text")
-    rows = rows.where((F.col("class") == "modifier") | F.col("store_name").rlike("[A-Za-z]"))
+    rows = split_store(rows, "store_text", keep=lambda s: (F.col("class") == "modifier") | s["store_name"].rlike("[A-Za-z]"))
     return as_items(_with_modifiers(rows, _zero(description=F.lit(CUMULATIVE), amount=F.col("amount0"))), report_type)
 
 
+def _without_maker(name: Column) -> Column:
+    """A leading first word of the header's company goes."""
+    maker = F.get(F.split("company", r"\s+"), F.lit(0))
+    rest = F.substring(name, F.length(maker) + 1, F.length(name))
+    starts = (F.length(maker) > 2) & F.lower(name).startswith(F.lower(maker)) & ~rest.rlike(r"^\w")
+    return F.when(starts, strip(rest)).otherwise(name)
+
+
 def sales_analysis_items(lines: DataFrame, facts: DataFrame, report_type: str = "SALES_ANALYSIS_SUMMARY") -> DataFrame:
     """Rows numbered 'n.' hold a store and its total."""
     ann = inside_table(annotate(lines, facts, report_type), report_type)
@@ -235,8 +239,8 @@ def sales_analysis_items(lines: DataFrame, facts: DataFrame, report_type: str =
     role = F.when(_is_stop(), "stop").when(_is_modifier() | numbered, "close").otherwise("text")
     rows = islands(ann, role)
     rows = split_store(rows.withColumn("store_text", fix_store_spelling(strip(
-        F.regexp_replace(strip("combined"), r"^\d+\.", "")))), "store_text")
-    rows = rows.where((F.col("class") == "modifier") | (F.col("store_name") != ""))
+        F.regexp_replace(strip("combined"), r"^\d+\.", "")))), "store_text",
+        keep=lambda s: (F.col("class") == "modifier") | (s["store_name"] != ""))
     amount = clean_number(nth("nums", -1))
     return as_items(_with_modifiers(rows, _zero(description=F.lit(CUMULATIVE), amount=amount)), report_type)
 
@@ -256,8 +260,8 @@ def sales_book_entries(lines: DataFrame, facts: DataFrame, report_type: str = "P
         F.max(F.when(is_entry, F.when(priced, clean_number(first)).otherwise(money(F.lit(0))))).alias("amount"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", part.alias("x")))),
                                  lambda r: r["x"]), " ").alias("name"))
-    rows = split_store(grouped.withColumn("name", fix_store_spelling(strip("name"))), "name")
-    rows = rows.where(F.col("store_name").rlike("[A-Za-z]") & ~has_any(F.lower("store_name"), X.BLOCK_WORDS))
+    rows = split_store(grouped.withColumn("name", fix_store_spelling(strip("name"))), "name", keep=lambda s: (
+        s["store_name"].rlike("[A-Za-z]") & ~has_any(F.lower(s["store_name"]), X.BLOCK_WORDS)))
     return as_items(rows.withColumns(_zero(description=F.lit(CUMULATIVE))), report_type)
 
 
@@ -268,9 +272,8 @@ def two_column_items(lines: DataFrame, facts: DataFrame, report_type: str = "UNI
     heading = F.when(F.col("class") == "row", heading_text(report_type))
     role = F.when(_is_stop() | heading.isNotNull(), "stop").when(F.col("n") >= 1, "close").otherwise("text")
     rows = islands(ann.withColumn("heading", heading), role, {"store_text": "heading"}, flush)
-    rows = split_store(rows.withColumn("d", _plain(F.col("combined"))), "d", "item_text", "item_place")
-    rows = rows.where((F.col("class") == "modifier")
-                      | (F.col("item_text").rlike("[A-Za-z]") & (F.length("item_text") >= 3)))
+    rows = split_store(rows.withColumn("d", _plain(F.col("combined"))), "d", "item_text", "item_place", keep=lambda s: (
+        (F.col("class") == "modifier") | (s["item_text"].rlike("[A-Za-z]") & (F.length(s["item_text"]) >= 3))))
     rows = attach(rows, facts.select("doc_id", "customer"), ["doc_id"], "line_no")
     rows = split_store(rows.withColumn("store_text", F.coalesce(
         "store_text", F.nullif("customer", F.lit("")), F.lit("UNKNOWN CUSTOMER"))), "store_text")

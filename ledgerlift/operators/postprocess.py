@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift import lexicon as X
-from ledgerlift.functions.common import staged, strip
+from ledgerlift.functions.common import let, settle, strip
 from ledgerlift.functions.entities import (
-    parse_description, scrub_description, scrub_glued, scrub_leading_token, scrub_location, scrub_store_name,
-    split_store,
+    description_parts, scrub_description, scrub_glued, scrub_leading_token, scrub_location, scrub_store_name, store_parts,
 )
 from ledgerlift.functions.text import fix_field_noise, strict_entity, text_confidence
 from ledgerlift.operators.ordered import scan
@@ -21,63 +20,57 @@ _STORE_IN_ROW = r"^(.+?)\s+D\s+([A-Za-z0-9\-].+)$"
 def reparent(items: DataFrame) -> DataFrame:
     """'STORE D item' inside a description opens a new store for this row and the rows behind it in the same store."""
     desc = strip(F.regexp_replace(F.coalesce("description", F.lit("")), _TABLE_TITLE, ""))
-    df = items.withColumn("_d", desc)
-    cand = strip(F.regexp_extract("_d", _STORE_IN_ROW, 1))
-    df = df.withColumn("_cand", cand)
-    valid = ((F.length("_cand") > 8) & (F.col("_cand").contains(",") | F.upper("_cand").rlike(X.TRADE_WORD))
-             & ~F.col("_cand").rlike(X.DOSAGE_IN_STORE))
-    df = split_store(df.withColumn("_valid", valid), "_cand", "_sn", "_sl")
-    whole = (F.col("_sn") == "") | (F.col("_sn") == F.col("_cand"))
-    comma = F.col("_cand").contains(",")
-    df = df.withColumns({
-        "_sn": F.when(whole & comma, strip(F.substring_index("_cand", ",", 1))).when(whole, F.col("_cand")).otherwise(F.col("_sn")),
-        "_sl": F.when(whole & comma, strip(F.regexp_extract("_cand", r"(?s)^[^,]*,(.*)$", 1))).when(whole, "").otherwise(F.col("_sl")),
-        "_d": strip(F.regexp_replace(F.when(F.col("_valid"), strip(F.regexp_extract("_d", _STORE_IN_ROW, 2)))
-                                     .otherwise(F.col("_d")), r"^D\s+", "")),
-    })
+
+    def found(d: Column, cand: Column) -> Column:
+        valid = ((F.length(cand) > 8) & (cand.contains(",") | F.upper(cand).rlike(X.TRADE_WORD))
+                 & ~cand.rlike(X.DOSAGE_IN_STORE))
+        item = F.when(valid, strip(F.regexp_extract(d, _STORE_IN_ROW, 2))).otherwise(d)
+
+        def placed(p: Column) -> Column:
+            whole, comma = (p["n"] == "") | (p["n"] == cand), cand.contains(",")
+            return F.struct(
+                F.when(whole & comma, strip(F.substring_index(cand, ",", 1))).when(whole, cand).otherwise(p["n"]).alias("name"),
+                F.when(whole & comma, strip(F.regexp_extract(cand, r"(?s)^[^,]*,(.*)$", 1))).when(whole, "")
+                .otherwise(p["l"]).alias("place"))
+
+        return F.struct(F.when(valid, let(store_parts(cand, "n", "l"), placed)).alias("_opened"),
+                        strip(F.regexp_replace(item, r"^D\s+", "")).alias("_d"))
+
+    df = settle(items, let(desc, lambda d: let(strip(F.regexp_extract(d, _STORE_IN_ROW, 1)), lambda cand: found(d, cand))))
     # the row's own store is the key: a store found inside it reaches to its last row
     keyed = df.withColumns({"_k1": F.coalesce("store_name", F.lit("")), "_k2": F.coalesce("store_location", F.lit(""))})
     done = scan(keyed, ["doc_id", "_k1", "_k2"],
-                fill={"_new": F.when(F.col("_valid"), F.struct("_sn", "_sl"))}, tie="_d")
+                fill={"_new": "_opened"}, tie="_d")
     return done.withColumns({
-        "store_name": F.coalesce("_new._sn", "store_name"),
-        "store_location": F.when(F.col("_new").isNotNull(), F.col("_new._sl")).otherwise(F.col("store_location")),
+        "store_name": F.coalesce("_new.name", "store_name"),
+        "store_location": F.when(F.col("_new").isNotNull(), F.col("_new.place")).otherwise(F.col("store_location")),
         "description": F.col("_d")}).select(*items.columns)
 
 
 def clean_entities(items: DataFrame) -> DataFrame:
     """Store and location split where missing, scrubbed, spelling and case normalised."""
-    df = split_store(items, "store_name", "_sn", "_sl")
     has_place = F.coalesce("store_location", F.lit("")) != ""
-    df = staged(
-        df,
-        {"_sn": F.when(has_place, F.col("store_name")).otherwise(F.col("_sn")),
-         "_sl": F.when(has_place, F.col("store_location")).otherwise(F.col("_sl"))},
-        {"_sn": fix_field_noise(scrub_store_name("_sn"), "StoreName"), "_sl": scrub_location("_sl")},
-        {"store_name": strict_entity("_sn"), "store_location": strict_entity("_sl", location=True)},
-    )
-    return df.drop("_sn", "_sl")
+    given = F.struct(F.coalesce("store_name", F.lit("")).alias("n"), F.coalesce("store_location", F.lit("")).alias("l"))
+    parts = F.when(has_place, given).otherwise(store_parts("store_name", "n", "l"))
+    return settle(items, let(parts, lambda p: F.struct(
+        strict_entity(fix_field_noise(scrub_store_name(p["n"]), "StoreName")).alias("store_name"),
+        strict_entity(scrub_location(p["l"]), location=True).alias("store_location")))).select(*items.columns)
 
 
 def clean_descriptions(items: DataFrame) -> DataFrame:
     """Description scrubbed, then brand, dosage and packaging read from it; known products take their canonical name."""
-    d = F.col("description")
-    some = F.coalesce(d, F.lit("")) != ""
-    inferred_bill = (F.col("report_type") == "SCHEMA_INFERRED") & (d == "BILL AMOUNT")
-    df = staged(
-        items.withColumn("_bill", inferred_bill),
-        {"_x": scrub_description("description")},
-        {"_x": scrub_leading_token("_x")},
-        {"_x": F.when(F.col("_bill"), "PARTY BILL").when(some, scrub_glued("_x")).otherwise(F.lit(""))},
-    )
-    df = parse_description(df, "_x", "_b", "_dose", "_pack")
-    keep = ~some | F.col("_bill")
-    return df.withColumns({
-        "brand": F.when(F.col("_bill"), "").when(~some, F.col("brand")).otherwise(F.col("_b")),
-        "dosage": F.when(F.col("_bill"), "").when(keep, F.col("dosage")).otherwise(F.col("_dose")),
-        "packing": F.when(F.col("_bill"), "").when(keep, F.col("packing")).otherwise(F.col("_pack")),
-        "description": fix_field_noise("_x", "Description"),
-    }).drop("_x", "_b", "_dose", "_pack", "_bill")
+    d = F.coalesce("description", F.lit(""))
+    bill = (F.col("report_type") == "SCHEMA_INFERRED") & (d == "BILL AMOUNT")
+    own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("brand", "dosage", "packing")])
+    none = F.struct(*[F.lit("").alias(c) for c in ("brand", "dosage", "packing")])
+
+    def parts(text: Column) -> Column:
+        p = F.when(bill, none).when(d == "", own).otherwise(description_parts(text))
+        return let(p, lambda q: F.struct(fix_field_noise(text, "Description").alias("description"),
+                                         q["brand"].alias("brand"), q["dosage"].alias("dosage"), q["packing"].alias("packing")))
+
+    text = F.when(bill, "PARTY BILL").when(d != "", scrub_glued(scrub_leading_token(scrub_description("description")))).otherwise("")
+    return settle(items, let(text, parts)).select(*items.columns)
 
 
 def row_flags(amount="amount", rate="rate", qty="qty", free="free", description="description") -> Column:
