@@ -39,19 +39,16 @@ def as_items(df: DataFrame, report_type: str) -> DataFrame:
 
 
 def doc_facts(lines: DataFrame) -> DataFrame:
-    """One row per document: header facts and the line where the table opens."""
-    opens = lines.groupBy("doc_id").agg(F.min(F.when(
-        has_any(compact_keep(clean_line("text")), X.TABLE_TRIGGERS), F.col("line_no"))).alias("table_line"))
-    heads = header_facts(header_view(lines)).select(
+    """One row per document: the facts printed in its first lines."""
+    return header_facts(header_view(lines)).select(
         "doc_id", "agency_name", "address", "gstin", "phone", "email", "company", "customer", "party", "from_date",
         "to_date")
-    return heads.join(opens, "doc_id", "left")
 
 
 def annotate(lines: DataFrame, facts: DataFrame, report_type: str) -> DataFrame:
     """Lines of one layout with cleaned text, words, trailing numbers and line classes."""
     df = attach(lines.select("doc_id", "page_no", "line_no", F.col("text").alias("raw")),
-                facts.select("doc_id", "agency_name", "company", "table_line"), ["doc_id"], "line_no")
+                facts.select("doc_id", "agency_name", "company"), ["doc_id"], "line_no")
     df = settle(df, F.struct(clean_line("raw").alias("t")), lambda v: (v["t"] != "") & ~v["t"].startswith("---"))
     df = df.withColumns({"low": F.lower("t"), "toks": F.split("t", r"\s+"), "dated": F.col("raw").rlike(X.DATE)})
     df = settle(df, peel("toks"))
@@ -93,15 +90,18 @@ def annotate(lines: DataFrame, facts: DataFrame, report_type: str) -> DataFrame:
     })
 
 
-def inside_table(ann: DataFrame, report_type: str) -> DataFrame:
-    """Rows below the table header. Some layouts close the table at page lines and, invoices, at the tax block."""
+def table_marks(report_type: str) -> Column:
+    """True where a table opens, False where it closes: some layouts close at page lines, invoices also at the tax block.
+
+    Carried forward to "strictly before the row", this says whether a row lies in a table.
+    """
+    opens = F.when(F.col("opens"), True)
     if report_type not in PAGE_RESET_TYPES:
-        return ann.where(F.col("line_no") > F.col("table_line"))
+        return opens
     shuts = F.col("class") == "page"
     if report_type == "INVOICE_SINGLE_PARTY":
         shuts = shuts | has_any("low", X.TAX_BLOCK_WORDS)
-    marked = scan(ann, ["doc_id"], fill_before={"open": F.when(shuts, False).when(F.col("opens"), True)}, tie="raw")
-    return marked.where(F.coalesce("open", F.lit(False)) & ~shuts).drop("open")
+    return F.when(shuts, False).otherwise(opens)
 
 
 def heading_text(report_type: str) -> Column:
@@ -131,7 +131,7 @@ def heading_text(report_type: str) -> Column:
     return F.nullif(strip(chain), F.lit(""))
 
 
-def islands(df: DataFrame, role: Column, fills: dict | None = None, flush: int | None = None) -> DataFrame:
+def islands(df: DataFrame, report_type: str, role: Column, fills: dict | None = None, flush: int | None = None) -> DataFrame:
     """Join each run of 'text' lines to the 'close' line that ends it; one output row per close line.
 
     Roles: close (emits), text (waits), stop (drops what waits). Text that no close
@@ -140,8 +140,9 @@ def islands(df: DataFrame, role: Column, fills: dict | None = None, flush: int |
     """
     marked = df.withColumn("role", role)
     ends = F.when(F.col("role").isin("close", "stop"), F.struct(F.col("line_no").alias("at"), F.col("role").alias("how")))
-    ready = scan(marked, ["doc_id"], next_fill={"end": ends}, fill=fills or {}, tie="raw")
-    ready = ready.where((F.col("end.how") == "close") & F.col("role").isin("close", "text"))
+    ready = scan(marked, ["doc_id"], next_fill={"end": ends}, fill=fills or {},
+                 fill_before={"open": table_marks(report_type)}, tie="raw")
+    ready = ready.where(F.coalesce("open", F.lit(False)) & (F.col("end.how") == "close") & F.col("role").isin("close", "text"))
     extra = list(fills or {})
     row = F.struct("t", "raw", "toks", "nums", "words", "inline", "n", "dated", "class", "trade", "company", *extra)
     grouped = ready.groupBy("doc_id", F.col("end.at").alias("line_no")).agg(
@@ -200,11 +201,11 @@ def _is_modifier() -> Column:
 
 def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMARY", flush: int | None = None) -> DataFrame:
     """One amount per store: last number, period total or largest number, by layout. Small-serial text rows are areas."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     heading = F.col("small") & (F.col("class") == "row")
     role = F.when(_is_stop() | heading, "stop").when(_is_modifier() | (F.col("n") >= 1), "close").otherwise("text")
     area = F.when(heading & (strip("inline") != ""), strip("inline"))
-    rows = islands(ann, role, {"area": area}, flush)
+    rows = islands(ann, report_type, role, {"area": area}, flush)
     name = strip(F.regexp_replace(strip("combined"), r"[\d.,\-\s]+$", ""))
     if report_type == "MFR_CUSTOMER_SUMMARY":
         amount = largest("nums")
@@ -234,10 +235,10 @@ def _without_maker(name: Column) -> Column:
 
 def sales_analysis_items(lines: DataFrame, facts: DataFrame, report_type: str = "SALES_ANALYSIS_SUMMARY") -> DataFrame:
     """Rows numbered 'n.' hold a store and its total."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     numbered = F.get("toks", F.lit(0)).rlike(r"^\d+\.") & (F.col("n") >= 1)
     role = F.when(_is_stop(), "stop").when(_is_modifier() | numbered, "close").otherwise("text")
-    rows = islands(ann, role)
+    rows = islands(ann, report_type, role)
     rows = split_store(rows.withColumn("store_text", fix_store_spelling(strip(
         F.regexp_replace(strip("combined"), r"^\d+\.", "")))), "store_text",
         keep=lambda s: (F.col("class") == "modifier") | (s["store_name"] != ""))
@@ -247,13 +248,14 @@ def sales_analysis_items(lines: DataFrame, facts: DataFrame, report_type: str =
 
 def sales_book_entries(lines: DataFrame, facts: DataFrame, report_type: str = "PARTY_SALES_BOOK") -> DataFrame:
     """The amount stands before the name and the name runs on over the next lines, up to the next entry or a total."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     first = F.get("toks", F.lit(0))
     priced = is_numeric(first) & ~F.regexp_replace("t", " ", "").rlike(r"^\d+$")
     named = (F.col("n") == 0) & F.col("trade") & ~priced
     row = F.col("class") == "row"
     mark = F.when(row & (priced | named), F.col("line_no")).when(_is_stop(), F.lit(-1).cast("bigint"))
-    open_rows = scan(ann, ["doc_id"], fill={"entry": mark}, tie="raw").where((F.col("entry") >= 0) & ~_is_stop())
+    open_rows = scan(ann, ["doc_id"], fill={"entry": mark}, fill_before={"open": table_marks(report_type)}, tie="raw") \
+        .where(F.coalesce("open", F.lit(False)) & (F.col("entry") >= 0) & ~_is_stop())
     is_entry = F.col("line_no") == F.col("entry")
     part = F.when(is_entry & priced, F.array_join(F.slice("toks", F.lit(2), F.size("toks")), " ")).otherwise(F.col("t"))
     grouped = open_rows.groupBy("doc_id", F.col("entry").alias("line_no")).agg(
@@ -268,10 +270,10 @@ def sales_book_entries(lines: DataFrame, facts: DataFrame, report_type: str = "P
 def two_column_items(lines: DataFrame, facts: DataFrame, report_type: str = "UNIVERSAL_TWO_COLUMN",
                      flush: int | None = None) -> DataFrame:
     """Description and last number; the store is the heading, else the customer of the header."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     heading = F.when(F.col("class") == "row", heading_text(report_type))
     role = F.when(_is_stop() | heading.isNotNull(), "stop").when(F.col("n") >= 1, "close").otherwise("text")
-    rows = islands(ann.withColumn("heading", heading), role, {"store_text": "heading"}, flush)
+    rows = islands(ann.withColumn("heading", heading), report_type, role, {"store_text": "heading"}, flush)
     rows = split_store(rows.withColumn("d", _plain(F.col("combined"))), "d", "item_text", "item_place", keep=lambda s: (
         (F.col("class") == "modifier") | (s["item_text"].rlike("[A-Za-z]") & (F.length(s["item_text"]) >= 3))))
     rows = attach(rows, facts.select("doc_id", "customer"), ["doc_id"], "line_no")
@@ -298,23 +300,29 @@ def _stores_from_headings(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return split_store(known.withColumn("store_text", F.coalesce("store_text", "fallback")), "store_text")
 
 
-def register_items(lines: DataFrame, facts: DataFrame, report_type: str = "SALE_REGISTER_ITEMIZED") -> DataFrame:
-    """Dated rows of an itemised or party-wise register; surplus leading numbers belong to the description."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+def register_items(lines: DataFrame, facts: DataFrame, report_type: str = "SALE_REGISTER_ITEMIZED",
+                   expect_headings: bool = False) -> DataFrame:
+    """Dated rows of an itemised or party-wise register; surplus leading numbers belong to the description.
+
+    With expect_headings, the first text line after a total or page line is a store
+    heading even without a trade word (one more pass over the lines).
+    """
+    ann = annotate(lines, facts, report_type)
     if report_type == "PARTYWISE_SALE_REGISTER":
         shop = (~F.col("dated") & (F.col("n") == 0) & F.col("letters") & F.col("t").contains(",")
                 & (F.length("t") > 5) & F.col("trade"))
         heading = F.when((F.col("class") == "row") & shop, F.col("t"))
-    else:
-        before = scan(ann.where(F.col("class") != "skip"), ["doc_id"], lags={"prev_class": "class"}, tie="raw")
+    elif expect_headings:
+        ann = scan(ann.where(F.col("class") != "skip"), ["doc_id"], lags={"prev_class": F.when(F.col("opens"), "block").otherwise(F.col("class"))}, tie="raw")
         expected = (F.coalesce("prev_class", F.lit("block")).isin("block", "page")
                     & (F.col("n") == 0) & F.col("letters") & ~F.col("dated"))
-        ann = before
         heading = F.when(F.col("class") == "row", F.coalesce(heading_text(report_type), F.when(expected, F.col("t"))))
+    else:
+        heading = F.when(F.col("class") == "row", heading_text(report_type))
     item = F.col("dated") & (F.col("n") >= 1)
     role = (F.when(_is_stop() | F.col("heading").isNotNull(), "stop").when(_is_modifier() | item, "close")
             .when(F.col("n") >= 1, "stop").otherwise("text"))
-    rows = islands(ann.withColumn("heading", heading), role, {"store_text": "heading"})
+    rows = islands(ann.withColumn("heading", heading), report_type, role, {"store_text": "heading"})
     surplus = join_words("inline", F.array_join(overflow_words("nums", 5), " "))
     if report_type == "PARTYWISE_SALE_REGISTER":
         desc = F.regexp_replace(strip(surplus), r"^\s*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\s+\S+\s+", "")
@@ -328,13 +336,13 @@ def register_items(lines: DataFrame, facts: DataFrame, report_type: str = "SALE_
 
 def single_party_items(lines: DataFrame, facts: DataFrame, report_type: str = "INVOICE_SINGLE_PARTY") -> DataFrame:
     """Invoice of one party: rows ending in a decimal amount; quantity is the first small whole number in front."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     last = nth("nums", -1)
     item = (F.col("n") >= 2) & (last.rlike(r"\d+\.\d{2}$") | last.isin("0", "0.0", "0.00"))
     heading = F.when(F.col("class") == "row", heading_text(report_type))
-    role = (F.when(_is_stop() | F.col("heading").isNotNull(), "stop").when(_is_modifier() | item, "close")
-            .otherwise("text"))
-    rows = islands(ann.withColumn("heading", heading), role, {"store_text": "heading"})
+    role = (F.when(_is_stop() | F.col("heading").isNotNull() | has_any("low", X.TAX_BLOCK_WORDS), "stop")
+            .when(_is_modifier() | item, "close").otherwise("text"))
+    rows = islands(ann.withColumn("heading", heading), report_type, role, {"store_text": "heading"})
     desc = join_words(F.nullif("pending", F.lit("")), "inline", F.array_join(overflow_words("nums", 5), " "))
     desc = strip(F.regexp_replace(desc, r"\s+\d{4,8}\s+\d+\.\d{1,2}$", ""))
     rows = rows.withColumns({"d": desc, "kept": keep_last("nums", 5)})
@@ -365,10 +373,10 @@ def _carry_stores(rows: DataFrame, is_store: Column, store_text: Column, facts:
 
 def customer_product_items(lines: DataFrame, facts: DataFrame, report_type: str = "CUSTOMER_PRODUCT_SALES") -> DataFrame:
     """Rows of three numbers or more are products; trade-word lines before them name the store."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     store = (F.col("class") == "row") & (F.col("n") < 3) & F.col("trade") & ~F.col("t").rlike(r"^[\d\s.,\-]+$")
     role = (F.when(_is_stop(), "stop").when(_is_modifier() | (F.col("n") >= 3) | store, "close").otherwise("text"))
-    rows = islands(ann, role)
+    rows = islands(ann, report_type, role)
     desc = join_words(F.nullif("pending", F.lit("")), "inline", F.array_join(overflow_words("nums", 6), " "))
     desc = strip(F.regexp_replace(F.regexp_replace(desc, r"INV\s+\d+\s+\d{2}[-/]\d{2}[-/]\d{2,4}", ""), r"\b\d{5,}\b", ""))
     is_store = (F.col("class") == "row") & (F.col("n") < 3)
@@ -383,14 +391,14 @@ def customer_product_items(lines: DataFrame, facts: DataFrame, report_type: str
 
 def party_product_items(lines: DataFrame, facts: DataFrame, report_type: str = "PARTY_PRODUCT_WISE") -> DataFrame:
     """Four numbers, or two ending in a decimal, make an item; trade words or a place without pack sizes make a store."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     last = nth("nums", -1)
     numbered = (F.col("n") >= 4) | ((F.col("n") >= 2) & (last.rlike(r"\d+\.\d{2}$") | last.isin("0", "0.0", "0.00")))
     empty = (F.col("n") <= 1) & ~F.col("letters")
     shop_line = (F.col("class") == "row") & (F.col("n") == 0) & F.upper("t").rlike(X.HEADING_SHOP_WORD)
     role = (F.when(_is_stop(), "stop").when(_is_modifier() | numbered | shop_line, "close")
             .when(empty, "skip").otherwise("text"))
-    rows = islands(ann, role)
+    rows = islands(ann, report_type, role)
     text = join_words(F.nullif("pending", F.lit("")), F.when(F.col("n") == 0, F.col("t")).otherwise(F.col("inline")),
                       F.array_join(overflow_words("nums", 5), " "))
     rows = rows.withColumns({"d": text, "kept": keep_last("nums", 5)})
@@ -409,13 +417,13 @@ def party_product_items(lines: DataFrame, facts: DataFrame, report_type: str = "
 
 def wise_items(lines: DataFrame, facts: DataFrame, report_type: str = "ITEM_WISE") -> DataFrame:
     """Item-wise: an item heading, then '-STORE' rows. Party-wise: a store heading, then item rows."""
-    ann = inside_table(annotate(lines, facts, report_type), report_type)
+    ann = annotate(lines, facts, report_type)
     item_wise = report_type == "ITEM_WISE"
     heading = F.lit(None).cast("string") if item_wise else F.when(
         (F.col("class") == "row") & (F.col("n") == 0), heading_text(report_type))
     role = (F.when(_is_stop() | F.col("heading").isNotNull(), "stop").when(_is_modifier() | (F.col("n") >= 1), "close")
             .otherwise("text"))
-    rows = islands(ann.withColumn("heading", heading), role, {"store_head": "heading"})
+    rows = islands(ann.withColumn("heading", heading), report_type, role, {"store_head": "heading"})
     rows = rows.withColumns({"kept": keep_last("nums", 5),
                              "row_text": join_words("inline", F.array_join(overflow_words("nums", 5), " "))})
     dash = F.col("row_text").startswith("-") & (F.length(strip("row_text", r"\- ")) > 1)
