@@ -164,10 +164,11 @@ def printed_numbers(spark, d):
 
 # ------------------------------------------------------------------ line and entity texts
 
-@query("normalised_lines", "T2", """SELECT p_partkey, 'ITEM ' || p_size || '.500   CUSTOMER   ' || p_name || ' 12-05-24' AS line FROM part""")
+@query("normalised_lines", "T2", """SELECT p_partkey, 'ITEM' || p_size || '.500   CUSTOMER   QTY ' || p_size || '.25 ' || p_name || ' 12-05-24' AS line FROM part""")
 def normalised_lines(spark, d):
     p = render.table(spark, d, "part")
-    dirty = F.concat(F.lit(" ITEM"), F.col("p_size").cast("string"), F.lit(".50O == custmer --- "), F.col("p_name"), F.lit("(cid:7)12-05-24\x07"))
+    dirty = F.concat(F.lit(" ITEM"), F.col("p_size").cast("string"), F.lit(".50O == custmer --- QTY"),
+                     F.col("p_size").cast("string"), F.lit(".25 "), F.col("p_name"), F.lit("(cid:7)12-05-24\x07"))
     return p.select("p_partkey", T.clean_line(dirty).alias("line"))
 
 
@@ -310,7 +311,7 @@ def row_texts(spark, d):
 
 
 @query("mean_token_confidence", "Q4", _TOKENS + """ SELECT CAST(doc_id AS VARCHAR) AS doc_id, round((sum(confidence * greatest(1, length(text)))
-  / sum(greatest(1, length(text))))::DOUBLE, 9) AS mean_confidence FROM k GROUP BY 1""")
+  / sum(greatest(1, length(text))))::DOUBLE, 6) AS mean_confidence FROM k GROUP BY 1""")
 def mean_token_confidence(spark, d):
     c = K.mean_confidence(render.tokens(render.table(spark, d, "documents")))
-    return c.select("doc_id", F.round("mean_confidence", 9).alias("mean_confidence"))
+    return c.select("doc_id", F.round("mean_confidence", 6).alias("mean_confidence"))

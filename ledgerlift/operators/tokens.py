@@ -51,12 +51,14 @@ def column_boundaries(tokens: DataFrame) -> DataFrame:
 
     smooth = F.transform(spine, lambda i: (at(i - 1) + at(i) + at(i + 1)) / F.lit(3.0))
 
-    def gaps(s):
-        low = F.array_max(s) * GAP_SHARE
-        is_gap = F.transform(s, lambda v: v < low)
-        starts = F.filter(spine, lambda i: F.get(is_gap, i) & ((i == 0) | ~F.coalesce(F.get(is_gap, i - 1), F.lit(True))))
+    def gap_starts(low_flags):
+        starts = F.filter(spine, lambda i: F.get(low_flags, i) & ((i == 0) | ~F.coalesce(F.get(low_flags, i - 1), F.lit(True))))
         return F.transform(starts, lambda i: F.col("x0") + i / F.lit(float(BUCKETS)) * F.col("width"))
 
+    def gaps(s):
+        flags = let(F.array_max(s) * GAP_SHARE, lambda low: F.transform(s, lambda v: v < low))
+        return let(flags, gap_starts)
+
     none = F.array().cast("array<double>")
     kept = F.aggregate(F.col("edges"), none, lambda acc, x: F.when(
         (F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= F.col("width") * MIN_SEPARATION),
