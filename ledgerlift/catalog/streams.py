@@ -23,21 +23,27 @@ def _run(spark, stream, mode: str = "append") -> str:
 
 
 def _log(spark, d):
-    return metering.request_log(jobs.read_table_stream(spark, d, "events"))
+    log = metering.request_log(jobs.read_table_stream(spark, d, "events"))
+    return log.withColumn("created_at", F.col("created_at").cast("timestamp"))  # watermarks need an instant
+
+
+def _naive(df, *cols):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
 @query("live_kpis", "R2", f"""WITH {LOG} SELECT date_trunc('day', created_at) AS window_start, count(*) AS requests,
   count(CASE WHEN status_code > 399 THEN 1 END) AS errors, CAST(sum(pages_billed) AS BIGINT) AS pages,
   avg(CASE WHEN status_code = 200 THEN processing_time_ms END) AS avg_latency FROM log GROUP BY 1""")
 def live_kpis(spark, d):
-    return jobs.latest_per_key(spark, _run(spark, jobs.live_kpis(_log(spark, d)), "update"), ["window_start"])
+    return _naive(jobs.latest_per_key(spark, _run(spark, jobs.live_kpis(_log(spark, d)), "update"), ["window_start"]), "window_start")
 
 
 @query("live_rate_alerts", "R4", f"""WITH {LOG} SELECT api_key, date_trunc('hour', created_at) AS window_start, count(*) AS n
 FROM log GROUP BY 1, 2 HAVING count(*) > 1""")
 def live_rate_alerts(spark, d):
     """One request per hour, as in the batch report: the given log is too thin for the default limit."""
-    return jobs.latest_per_key(spark, _run(spark, jobs.live_rate_alerts(_log(spark, d), 1, "1 hour"), "update"), ["api_key", "window_start"])
+    alerts = _run(spark, jobs.live_rate_alerts(_log(spark, d), 1, "1 hour"), "update")
+    return _naive(jobs.latest_per_key(spark, alerts, ["api_key", "window_start"]), "window_start")
 
 
 @query("live_sessions", "R5", f"""WITH {LOG}, m AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh
@@ -47,7 +53,7 @@ g AS (SELECT api_key, min(created_at) AS session_start, max(created_at) + INTERV
   CAST(sum(pages_billed) AS BIGINT) AS pages FROM s GROUP BY api_key, k)
 SELECT g.* FROM g WHERE session_end <= (SELECT max(created_at) - INTERVAL 10 MINUTES FROM log)""")
 def live_sessions(spark, d):
-    return spark.read.parquet(_run(spark, jobs.live_sessions(_log(spark, d)))).drop("batch")
+    return _naive(spark.read.parquet(_run(spark, jobs.live_sessions(_log(spark, d)))).drop("batch"), "session_start", "session_end")
 
 
 @query("live_admission", "R3 K16", f"WITH RECURSIVE {LOG}, {USERS}, "
