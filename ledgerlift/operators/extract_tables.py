@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift import layouts as L
 from ledgerlift import lexicon as X
-from ledgerlift.functions.common import first_group, has_any, let, money, squeeze, strip, words_of
+from ledgerlift.functions.common import first_group, has_any, let, match_groups, money, settle, squeeze, strip, words_of
 from ledgerlift.functions.entities import split_store
 from ledgerlift.functions.numbers import (
     clean_int, clean_number, date_key, fix_flat_digits, flat_number, number_after,
@@ -21,6 +21,12 @@ from ledgerlift.operators.ordered import attach, scan
 UNKNOWN_STORE = "UNKNOWN STORE"
 
 
+def _clean_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their cleaned text `t`; blank lines and rulers leave."""
+    return settle(lines, F.struct(clean_line("text").alias("t")),
+                  lambda v: (v["t"] != "") & ~v["t"].rlike(r"^-+$") & ~v["t"].startswith("---")).drop("text")
+
+
 # ------------------------------------------------------------------ delimited rows
 
 def delimited_rows(lines: DataFrame, formats: DataFrame) -> DataFrame:
@@ -214,26 +220,29 @@ BOOK_FIELDS = ["amount", "taxable", "tax", "sur_tax", "free_amt", "exempted", "r
 
 def sales_book_items(lines: DataFrame) -> DataFrame:
     """One 'BILL AMOUNT' item per bill row: by the strict pattern, else by tokens and decimals."""
-    df = lines.select("doc_id", "line_no", clean_line("text").alias("t"))
-    df = df.where((F.col("t") != "") & ~F.col("t").startswith("---"))
+    df = _clean_lines(lines.select("doc_id", "line_no", "text"))
     c = F.upper(F.regexp_replace("t", r"\s+", ""))
     header = (c.contains("PARTYNAME") & c.contains("BILLNO")) | (c.contains("BILLAMT") & c.contains("TAXABLE"))
     opens = df.groupBy("doc_id").agg(F.min(F.when(header, F.col("line_no"))).alias("opens"))
     body = attach(df, opens, ["doc_id"], "line_no").where(F.col("line_no") > F.col("opens"))
-    date = r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
-    body = body.where(F.col("t").rlike(date) & (F.col("t").rlike(BOOK_ROW) | F.col("t").rlike(X.DATE)))
-    body = body.withColumns({"strict": F.col("t").rlike(BOOK_ROW), "toks": F.split("t", r"\s+")})
+    body = settle(body, F.struct(match_groups("t", BOOK_ROW, 10).alias("g"), F.split("t", r"\s+").alias("toks"),
+                                 F.col("t").rlike(X.DATE).alias("dated")), lambda r: r["g"].isNotNull() | r["dated"])
+    strict = F.col("g").isNotNull()
     decimals = F.filter("toks", lambda w: w.rlike(r"^-?\d[\d,]*\.\d{2}$"))
-    body = body.withColumns({"dec": decimals, "at": F.array_position("toks", F.get(decimals, F.lit(0))).cast("int")})
-    strict_party = squeeze(F.regexp_replace(F.upper(F.regexp_extract("t", BOOK_ROW, 3)), r"[^A-Z0-9&\-\s\.\(\)]", " "))
-    loose_party = F.upper(F.array_join(F.slice("toks", F.lit(3), F.greatest(F.col("at") - 3, F.lit(0))), " "))
-    party = F.when(F.col("strict"), strict_party).otherwise(F.when(F.size("dec") > 0, loose_party))
-    body = body.withColumn("party", party).where(
-        F.when(F.col("strict"), F.length("party") >= 2).otherwise(F.col("party") != ""))
+    body = body.withColumn("dec", F.when(~strict, decimals))
+
+    def party() -> Column:
+        at = F.array_position("toks", F.get("dec", F.lit(0))).cast("int")
+        loose = F.upper(F.array_join(F.slice("toks", F.lit(3), F.greatest(at - 3, F.lit(0))), " "))
+        named = squeeze(F.regexp_replace(F.upper(F.get("g", F.lit(3))), r"[^A-Z0-9&\-\s\.\(\)]", " "))
+        return F.when(strict, named).otherwise(F.when(F.size("dec") > 0, loose))
+
+    body = settle(body, F.struct(party().alias("party")),
+                  lambda r: F.when(strict, F.length(r["party"]) >= 2).otherwise(r["party"] != ""))
 
     def amount(i: int) -> Column:
-        strict = F.regexp_extract("t", BOOK_ROW, 4 + i)
-        return F.when(F.col("strict"), clean_number(strict)).otherwise(clean_number(F.coalesce(F.get("dec", F.lit(i)), F.lit("0"))))
+        loose = F.coalesce(F.get("dec", F.lit(i)), F.lit("0"))
+        return clean_number(F.when(strict, F.get("g", F.lit(4 + i))).otherwise(loose))
 
     return as_items(body.withColumns({
         "store_name": F.col("party"), "store_location": F.lit(""), "description": F.lit("BILL AMOUNT"),
@@ -259,51 +268,53 @@ PAGED_DETAIL = (r"(?i)^(.+?)\s+(\d+\s*[xX]\s*[A-Z0-9]+|\d+\s*(?:ML|GM|G|MG|TAB|C
 
 def _paged_sections(lines: DataFrame) -> DataFrame:
     """Lines with their page section and the section's store. A page also ends where the next 'GST NO :' stands."""
-    df = lines.select("doc_id", "page_no", "line_no", clean_line("text").alias("t"))
-    df = df.where((F.col("t") != "") & ~F.col("t").rlike(r"^-+$"))
+    df = _clean_lines(lines.select("doc_id", "page_no", "line_no", "text"))
     df = scan(df, ["doc_id"], sums={"section": F.col("t").rlike(r"(?i)GST\s+NO\s*:").cast("bigint")}, tie="t")
     # one printed page: the rows between two page headers
     part = Window.partitionBy("doc_id", "page_no", "section")
-    store = first_group("t", r"(?i)M/S\s+(.+?)\s+INVOICE\s+NO\.?\s*:")
-    cased = F.col("t").rlike("(?i)DATE") & F.col("t").rlike("(?i)NO OF CASES")
+    dated = F.col("t").rlike("(?i)DATE")
+    cased = dated & F.col("t").rlike("(?i)NO OF CASES")
     place = F.when(cased, first_group("t", r"(?i)^\s*([A-Za-z][A-Za-z\s.\-]{2,}?)\s+DATE\s*:"))
-    after = F.nullif(strip(F.regexp_extract("t", r"(?i)^(.*?)\bDATE\s*:", 1)), F.lit(""))
-    at = F.col("line_no")
-    return df.withColumns({
-        "store_text": F.min_by(strip(store), F.when(store.isNotNull(), at)).over(part),
-        "place": F.coalesce(F.min_by(strip(place), F.when(place.isNotNull(), at)).over(part),
-                            F.min_by(after, F.when(after.isNotNull() & ~cased, at)).over(part)),
-    })
+    after = F.when(dated & ~cased, F.nullif(strip(F.regexp_extract("t", r"(?i)^(.*?)\bDATE\s*:", 1)), F.lit("")))
+    store = F.when(F.col("t").rlike(r"(?i)M/S\s"), first_group("t", r"(?i)M/S\s+(.+?)\s+INVOICE\s+NO\.?\s*:"))
+    df = settle(df, F.struct(strip(store).alias("s"), strip(place).alias("p"), after.alias("a")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).over(part)
+    return df.withColumns({"store_text": first("s"), "place": F.coalesce(first("p"), first("a"))}).drop("s", "p", "a")
 
 
 def paged_invoice_items(lines: DataFrame) -> DataFrame:
     """Item rows of each page's store, plus one row each for the added tax and the round-off of the page."""
     df = _paged_sections(lines).where(F.col("store_text").isNotNull())
-    g = lambda i: F.regexp_extract("t", PAGED_ROW, i)
-    rows = df.where(F.col("t").rlike(PAGED_ROW)).withColumns({"body": squeeze(g(2))})
-    has = F.col("body").rlike(PAGED_DETAIL)
-    d = lambda i: F.when(has, F.regexp_extract("body", PAGED_DETAIL, i)).otherwise("")
+    labels = (("tax", r"ADD\s+GST", "SGST CGST ADD GST"), ("off", r"Round\s+off", "Round off"))
+    df = settle(df, F.struct(
+        F.when(F.col("t").rlike(r"^\d"), match_groups("t", PAGED_ROW, 11)).alias("g"),
+        *[F.when(F.col("t").rlike("(?i)" + pat), number_after(pat, "t")).alias(n) for n, pat, _ in labels]),
+        lambda r: r["g"].isNotNull() | r["tax"].isNotNull() | r["off"].isNotNull())
+    part = Window.partitionBy("doc_id", "page_no", "section")
+    # of each label only the first printed value of the page counts
+    df = df.withColumns({n + "_at": F.min(F.when(F.col(n).isNotNull(), F.col("line_no"))).over(part) for n, _, _ in labels})
+    g = lambda i: F.get("g", F.lit(i))
+    detail = F.when(F.col("g").isNotNull(), match_groups(squeeze(g(2)), PAGED_DETAIL, 4))
+    df = settle(df, F.struct(detail.alias("d"), squeeze(g(2)).alias("body")))
+    d = lambda i: F.coalesce(F.get("d", F.lit(i)), F.lit(""))
     pack = F.regexp_replace(F.upper(d(2)), " ", "")
-    name = F.when(has, strip(d(1))).otherwise(F.col("body"))
+    name = F.when(F.col("d").isNotNull(), strip(d(1))).otherwise(F.col("body"))
     name = squeeze(F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"\([^)]*$", " "))
-    items = rows.withColumns({
-        "description": F.trim(F.concat_ws(" ", name, F.nullif(pack, F.lit("")))), "qty": clean_int(g(5)),
-        "free": F.lit(0).cast("bigint"), "rate": clean_number(g(7)), "amount": clean_number(g(10)),
-        "percent": clean_number(F.when(g(8) == "", "0").otherwise(g(8))), "mrp": clean_number(g(6)),
-        "gst_percent": clean_number(g(9)), "hsn": g(11), "batch": d(4), "expiry": d(3),
-        "case_qty": clean_int(g(3)), "case_unit": F.upper(g(4)), "packing": pack})
-    extra = []
-    for label, text in ((r"ADD\s+GST", "SGST CGST ADD GST"), (r"Round\s+off", "Round off")):
-        v = number_after(label, "t")
-        hit = df.withColumn("v", v).where(F.col("v").isNotNull())
-        one = hit.groupBy("doc_id", "page_no", "section", "store_text", "place").agg(
-            F.min(F.struct("line_no", "v")).alias("m"))
-        extra.append(one.where(F.col("m.v") != 0).select(
-            "doc_id", F.col("m.line_no").alias("line_no"), "store_text", "place", F.lit(text).alias("description"),
-            F.lit(0).cast("bigint").alias("qty"), F.lit(0).cast("bigint").alias("free"), money(F.lit(0)).alias("rate"),
-            F.col("m.v").alias("amount"), money(F.lit(0)).alias("percent")))
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), extra, items)
-    out = split_store(both, "store_text")
+    is_row = F.col("g").isNotNull()
+    label = F.when(is_row, F.trim(F.concat_ws(" ", name, F.nullif(pack, F.lit("")))))
+    amount = F.when(is_row, clean_number(g(10)))
+    for n, _, text in labels:
+        hit = (F.col(n + "_at") == F.col("line_no")) & (F.col(n) != 0)
+        label, amount = label.when(hit, text), amount.when(hit, F.col(n))
+    items = df.withColumns({
+        "description": label, "amount": amount, "qty": clean_int(F.coalesce(g(5), F.lit("0"))), "free": F.lit(0).cast("bigint"),
+        "rate": clean_number(F.coalesce(g(7), F.lit("0"))), "percent": clean_number(F.coalesce(F.nullif(g(8), F.lit("")), F.lit("0"))),
+        "mrp": F.when(is_row, clean_number(g(6))), "gst_percent": F.when(is_row, clean_number(g(9))), "hsn": g(11),
+        "batch": F.when(is_row, d(4)), "expiry": F.when(is_row, d(3)), "case_qty": F.when(is_row, clean_int(g(3))),
+        "case_unit": F.upper(g(4)), "packing": F.when(is_row, pack)})
+    items = items.where(F.col("g").isNotNull() | ((F.col("tax_at") == F.col("line_no")) & (F.col("tax") != 0))
+                        | ((F.col("off_at") == F.col("line_no")) & (F.col("off") != 0)))
+    out = split_store(items, "store_text")
     out = out.withColumn("store_location", F.coalesce(F.nullif("place", F.lit("")), "store_location"))
     return as_items(out.withColumn("area", F.lit("UNKNOWN AREA")), "PAGED_STORE_INVOICE")
 
@@ -356,7 +367,8 @@ def tax_invoice_rows(lines: DataFrame) -> DataFrame:
 
 def _front(df: DataFrame) -> DataFrame:
     """The words in front of the numbers: expiry, pack, quantity, batch, brand and form, in any order."""
-    toks = F.split(strip(F.regexp_extract("row", TAX_ROW, 2)), r"\s+")
+    df = settle(df, F.struct(match_groups("row", f"^{TAX_ROW}$", 9).alias("g")))
+    toks = F.split(strip(F.get("g", F.lit(2))), r"\s+")
 
     def exp(t):
         return t.contains("/") & (F.regexp_count(t, F.lit(r"\d")) >= 2)
@@ -406,9 +418,9 @@ def _front(df: DataFrame) -> DataFrame:
 def tax_invoice_items(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Items of tax invoices. facts may give doc_id and party (the buyer)."""
     rows = _front(tax_invoice_rows(lines))
-    v = lambda i: money(F.regexp_replace(F.regexp_extract("row", TAX_ROW, i), ",", "").try_cast("decimal(18,2)"))
+    v = lambda i: money(F.replace(F.get("g", F.lit(i)), F.lit(","), F.lit("")).try_cast("decimal(18,2)"))
     out = rows.withColumns({
-        "hsn": F.regexp_extract("row", TAX_ROW, 3), "mrp": v(4), "rate": v(5), "discount_amount": v(6),
+        "hsn": F.get("g", F.lit(3)), "mrp": v(4), "rate": v(5), "discount_amount": v(6),
         "tax_amount": money(v(7) + v(8)), "amount": v(9), "free": F.lit(0), "percent": money(F.lit(0)),
         "description": F.lit(""), "area": F.lit("UNKNOWN AREA"), "store_location": F.lit("")})
     if facts is None:
