@@ -86,7 +86,9 @@ def annotate(lines: DataFrame, facts: DataFrame, report_type: str) -> DataFrame:
     return df.withColumns({
         "class": klass, "n": F.size("nums"), "inline": F.array_join("words", " "),
         "opens": has_any(compact_keep("t"), X.TABLE_TRIGGERS),
-        "trade": F.upper("t").rlike(X.TRADE_WORD), "letters": F.col("t").rlike("[A-Za-z]"),
+        # only lines with few numbers or a licence mark can be headings; the others skip the long pattern
+        "trade": F.when((F.size("nums") < 3) | has_any("low", ["dl no", "dl.no", "gstin", "retailer"]),
+                        F.upper("t").rlike(X.TRADE_WORD)).otherwise(F.lit(False)), "letters": F.col("t").rlike("[A-Za-z]"),
     })
 
 
