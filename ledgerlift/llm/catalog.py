@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, lm_score, url_rules
+from ledgerlift.llm import jaccard, line_runs, lm_score, url_rules
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, url_rules.RULES))
 
 
+@query("op9_line_runs")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op10_lm_score", f"""
 WITH w0 AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w0),
