@@ -40,6 +40,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As keep, in buckets by a key that later joins and groups on, so they read it without a shuffle."""
+    spark = df.sparkSession
+    named = f"ledgerlift_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{named}")
+     .bucketBy(n, key).saveAsTable(named))
+    return spark.table(named)
+
+
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package when the session was started elsewhere (a cluster gets it by --py-files)."""
     env = spark.sparkContext.environment

@@ -20,6 +20,7 @@ from ledgerlift.llm.packed import Batch, buckets_for, distinct_sorted, exchange,
 BACKOFF = 0.4
 ORDERS = (1, 2, 3)
 UNSEEN = 0.5
+PIECE_WORDS = 250_000  # scored at a time
 SCORES = "doc_id long, n_words long, n_backoff long, n_unseen long, log_score double"
 
 
@@ -38,35 +39,40 @@ def asked(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sorted(np.concatenate([g for _, g in grams(batch)]))
 
 
-def group_values(keys: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """For each element: its group's value (groups of equal keys in rising order), or the group's size."""
-    if not len(keys):
-        return np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    ranked = keys[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    group = np.cumsum(new) - 1
-    if values is None:
-        values = np.bincount(group)
+def looked_up(known: np.ndarray, totals: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)  # searching in order stays in the cache
     out = np.empty(len(keys), np.int64)
-    out[order] = values[group]
+    out[order] = totals[np.searchsorted(known, keys[order])]
     return out
 
 
+def occurrences(keys: np.ndarray) -> np.ndarray:
+    """For each key, how often it occurs among the keys."""
+    known, counts = distinct_sorted(keys)
+    return looked_up(known, counts, keys) if len(keys) else np.zeros(0, np.int64)
+
+
 def scored(batch: Batch, totals: np.ndarray, all_words: int) -> pa.Table:
+    known = asked(batch)[0]
+    parts, at, starts = [], 0, batch.starts
+    while at < len(batch.lens):  # some documents at a time, to bound memory
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE_WORDS)))
+        words = batch.hashes[starts[at]:starts[to - 1] + batch.lens[to - 1]]
+        parts.append(_scored(Batch(batch.name, batch.docs[at:to], batch.lens[at:to], words), known, totals, all_words))
+        at = to
+    return pa.concat_tables(parts)
+
+
+def _scored(batch: Batch, known: np.ndarray, totals: np.ndarray, all_words: int) -> pa.Table:
     lens, n = batch.lens, len(batch.hashes)
     doc = np.repeat(np.arange(len(lens)), lens)
     offset = np.arange(n) - np.repeat(batch.starts, lens)
-    spans = grams(batch)
-    every = np.concatenate([g for _, g in spans])
-    owner = np.concatenate([doc[at] for at, _ in spans]).astype(np.uint64)
-    others = group_values(every, totals) - group_values(every ^ (owner + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-    counts, done = [], 0
-    for at, g in spans:
+    counts = []  # in other documents, of the n-gram from each position
+    for at, g in grams(batch):
+        own = occurrences(g ^ (doc[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
         full = np.zeros(n, np.int64)
-        full[at] = others[done:done + len(g)]
+        full[at] = looked_up(known, totals, g) - own
         counts.append(full)
-        done += len(g)
     one, two, three = counts
 
     def before(a: np.ndarray, k: int) -> np.ndarray:

@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import keep, on_workers
+from ledgerlift.llm.common import keep_bucketed, on_workers
 
-BATCH_WORDS = 3_000_000     # a batch closes beyond so many words; one longer document is a batch of its own
+BATCH_WORDS = 2_000_000     # a batch closes beyond so many words; one longer document is a batch of its own
 BUCKET_ENTRIES = 4_000_000  # entries that a bucket holds in memory, about
 BATCHES = "batch string, n_words long, docs array<bigint>, lens binary, vocabulary binary, words binary"
 ASKED = "bucket int, batch string, grams binary, counts binary"
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, fold_ascii: bool, batch_words: int = BATCH_WORDS) -> D
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keep(rows.mapInArrow(run, BATCHES), "batches")
+    return keep_bucketed(rows.mapInArrow(run, BATCHES), "batches", "batch")
 
 
 def load(row: dict) -> Batch:
