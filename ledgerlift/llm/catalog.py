@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, line_runs, lm_score, url_rules
+from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, url_rules
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.6, "long": 0.3}}
+SHARE = 0.5  # of all words, to be sampled
+
+
+@query("op1_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.sampled(docs, TARGETS, SHARE, columns=["doc_id"])
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -51,6 +66,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, url_rules.RULES))
 
 
+@query("op7_templates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", "item_id", "n_tokens", "n_covered", "n_slots", "same_values")
+
+
 @query("op9_line_runs")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

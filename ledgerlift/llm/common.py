@@ -60,9 +60,5 @@ def on_workers(spark: SparkSession) -> None:
 
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text as an array; none of null."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1)), " ", -1)
-    return F.filter(parts, lambda w: w != "")
-
-
-def n_bytes_text(text: Column) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[ \\t\\n\\x0B\\f\\r]+", -1))
