@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, url_rules
+from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, token_counts, url_rules
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(docs, TARGETS, SHARE, columns=["doc_id"])
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, 512)
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), columns=["doc_id"])
