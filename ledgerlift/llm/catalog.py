@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, token_counts, url_rules
+from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(docs, TARGETS, SHARE, columns=["doc_id"])
 
 
+END_ID = 2  # appended to each document
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -49,6 +50,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
+@query("op4_wavelet_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.written_and_read(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+
+
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -81,6 +87,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "item_id", "n_tokens", "n_covered", "n_slots", "same_values")
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_line_runs")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
