@@ -35,6 +35,8 @@ from ledgerlift.llm.packed import Batch, buckets_for, distinct_sorted, exchange,
 
 SETS = "doc_id long, n_shingles long, signature string, terms binary, rare array<bigint>"
 BLOCK_TERMS = 3_000_000  # shingles of the sets that one task searches, about
+BATCH_WORDS = 1_000_000
+BUCKET_ENTRIES = 2_000_000
 MU = 0.01                # DivideSkip's weight of probing against merging
 
 
@@ -194,8 +196,8 @@ def blocks(members: DataFrame, percent: int, block_terms: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    batches = pack(docs, fold_ascii=True)
-    _, n_buckets = buckets_for(batches, 1)
+    batches = pack(docs, fold_ascii=True, batch_words=BATCH_WORDS)
+    _, n_buckets = buckets_for(batches, 1, BUCKET_ENTRIES)
 
     def asked(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         sets = shingle_sets(batch, width)
