@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlift.llm.common import keep, words
+from ledgerlift.llm.common import BLANKS, keep, words
 
 MIN_WORDS = 15
 
@@ -45,9 +45,10 @@ def _first_places(rows: DataFrame, content: list[str]) -> DataFrame:
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies of shortest runs: doc, i, m (lines of the sequence of worded lines), first (place of the first copy)."""
     one = docs.select(_doc().alias("doc"), F.split("text", "\n", -1).alias("lines"))
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line"), F.size(words(x)).alias("n"), F.md5(x).alias("id")))
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line"), F.size(words(x)).alias("n"), F.unhex(F.md5(x)).alias("id")))
     lines = one.select("doc", F.posexplode(F.filter(numbered, lambda x: x["n"] > 0)).alias("i", "x")).select(
         "doc", "i", "x.line", "x.n", "x.id")
+    lines = keep(lines, "lines")  # read twice below: counted, and joined to the counts
     level = keep(_first_places(lines, ["id"]).drop("id").distinct(), "line-ranks")  # equal rows become one
     # stretches of consecutive repeated lines, words before each, and the place after the last
     of_doc = W.partitionBy("doc").orderBy("i")
@@ -103,7 +104,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("r_spans"))
     joined = docs.withColumn("r_own", _doc()).join(spans, F.col("r_own") == F.col("r_doc"), "left")
     parts = F.split("text", "\n", -1)
-    worded = F.transform(parts, lambda x: F.size(words(x)) > 0)
+    worded = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     # the number of a line among those with words, for documents that lose some
     places = F.filter(F.transform(worded, lambda w, i: F.when(w, i).otherwise(-1)), lambda i: i >= 0)
     gone = F.flatten(F.transform("r_spans", lambda s: F.transform(F.slice(F.col("r_places"), s["first_line"] + 1, s["last_line"] - s["first_line"] + 1), lambda x: x)))
@@ -111,7 +112,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = marked.withColumn("r_gone", F.when(F.col("r_spans").isNotNull(), gone))
     left = F.array_join(F.array_except(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                                        F.transform("r_gone", lambda i: F.struct(i.alias("i"), F.get(parts, i).alias("x"))))["x"], "\n")
-    n_lines = F.coalesce(F.size(F.filter(worded, lambda w: w)), F.lit(0)).cast("long")
+    n_lines = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
     return marked.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")], F.when(F.col("r_gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
