@@ -88,7 +88,7 @@ def _scored(batch: Batch, known: np.ndarray, totals: np.ndarray, all_words: int)
     logs = np.log(top) - np.log(np.maximum(base, 1)) + given_up * np.log(BACKOFF)
 
     def per_doc(values: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, weights=values, minlength=len(lens))
+        return np.bincount(doc, weights=values, minlength=len(lens)).astype(float)
 
     return pa.table({
         "doc_id": pa.array(batch.docs, pa.int64()), "n_words": lens, "n_backoff": per_doc(given_up > 0).astype(np.int64),
