@@ -25,6 +25,7 @@ from ledgerlift.llm.common import keep, words
 WINDOW = 8
 LEAST = 13
 BROADCAST_WINDOWS = 2_000_000  # rows of 16 bytes and their slots
+OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡·"  # what is cut from the ends of words
 UNITS = ("mm cm m km ml l g kg mg lb lbs oz inch inches foot feet yard yards mile miles meter meters metre metres liter liters litre "
          "litres gram grams kilogram kilograms second seconds minute minutes hour hours day days week weeks month months year years percent "
          "dollar dollars euro euros cent cents usd eur kmh mph").split()
@@ -35,39 +36,42 @@ def _doc() -> Column:
 
 
 def _template(rows: DataFrame, window: int, name: str, value: Column) -> DataFrame:
-    """For each window of each row: the value under its name, tokens (template words of the row), i, hash and slots."""
-    raw = rows.select(value.alias(name), words(F.col("text")).alias("raw"))
-    core = raw.withColumn("core", F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    """For each window of each row: the value under its name, place i and hash, and the row's arrays core and kinds."""
+    # arrays are zipped, never indexed from inside a lambda: an indexed one could be made again for every element
+    bare = lambda w: F.btrim(w, F.lit(OUTER))
+    raw = rows.select(value.alias(name), F.filter(words(F.col("text")), lambda w: bare(w) != "").alias("raw"))
+    core = raw.withColumn("core", F.transform("raw", bare)).withColumn("before", F.slice(F.concat(F.array(F.lit(".")), "raw"), F.lit(1), F.size("raw")))
 
-    def kind(w: Column, i: Column) -> Column:
+    def kind(w: Column, before: Column) -> Column:
         first = F.substring(w, 1, 1)
-        opens = (i == 0) | F.get("raw", i - 1).rlike(r"[.!?:]\W*$")
-        return (F.when((first >= "0") & (first <= "9"), F.lit("#")).when(F.lower(w).isin(UNITS), F.lit("%"))
-                .when((first != F.lower(first)) & ~opens, F.lit("@")))
+        return (F.when((first >= "0") & (first <= "9"), F.lit("#")).when((first != F.lower(first)) & ~before.rlike(r"[.!?:]\W*$"), F.lit("@"))
+                .when(F.lower(w).isin(UNITS), F.lit("%")))
 
-    kinds = core.withColumn("kinds", F.transform("core", kind))
+    kinds = core.select(name, "core", F.zip_with("core", "before", kind).alias("kinds"))
+    listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.coalesce(k, F.lower(w))))
+    windows = F.when(F.size("t") >= window, F.transform(
+        F.sequence(F.lit(0), F.size("t") - window), lambda i: F.xxhash64(F.slice("t", i + 1, window))))
+    # exploded as an expression: of a column Spark would infer a filter and make the arrays again below
+    return listed.select(name, "core", "kinds", F.posexplode(windows).alias("i", "hash"))
 
-    def token(w: Column, i: Column) -> Column:
-        placeholder = F.get("kinds", i)
-        return F.struct(F.coalesce(placeholder, F.lower(w)).alias("t"), F.when(placeholder.isNotNull(), F.concat(placeholder, F.lower(w))).alias("slot"))
 
-    tokens = F.filter(F.transform("core", token), lambda x: x["t"] != "")
-    listed = kinds.select(name, tokens.alias("tokens")).select(name, F.col("tokens.t").alias("t"), F.col("tokens.slot").alias("slot"))
-    windows = F.when(F.size("t") >= window, F.transform(
-        F.sequence(F.lit(0), F.size("t") - window),
-        lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("t", i + 1, window)).alias("hash"),
-                           F.filter(F.slice("slot", i + 1, window), lambda s: s.isNotNull()).alias("slots"))))
-    return listed.select(name, F.size("t").alias("tokens"), F.inline(windows))
+def _slots(window: int) -> Column:
+    """Kind and value of each placeholder in the window at i."""
+    at = F.col("i") + 1
+    return F.filter(F.zip_with(F.slice("kinds", at, window), F.slice("core", at, window), lambda k, w: F.concat(k, F.lower(w))), lambda s: s.isNotNull())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """One row per leaked document and item: doc (key), item_id, n_tokens of the item, n_covered, n_slots, same_values."""
     items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    asked = _template(items, window, "item_id", F.col("item_id")).filter(2 * F.size("slots") <= window)
-    asked = keep(asked.select("item_id", "tokens", F.col("i").alias("j"), "hash", F.col("slots").alias("item_slots")), "item-windows")
-    small = asked.count() <= BROADCAST_WINDOWS
-    seen = _template(docs, window, "doc", _doc()).drop("tokens")
-    hits = seen.join(F.broadcast(asked) if small else asked, "hash")
+    asked = _template(items, window, "item_id", F.col("item_id")).select(
+        "item_id", F.size("core").alias("tokens"), F.col("i").alias("j"), "hash", _slots(window).alias("item_slots"))
+    asked = keep(asked.filter(2 * F.size("item_slots") <= window), "item-windows")
+    seen = _template(docs, window, "doc", _doc())
+    if asked.count() <= BROADCAST_WINDOWS:  # slots are then made for the hits only
+        hits = seen.join(F.broadcast(asked), "hash").withColumn("slots", _slots(window))
+    else:
+        hits = seen.select("doc", "i", "hash", _slots(window).alias("slots")).join(asked, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
     on_line = hits.groupBy("doc", "item_id", "tokens", (F.col("i") - F.col("j")).alias("shift")).agg(
         F.sort_array(F.collect_set("j")).alias("js"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
