@@ -25,8 +25,8 @@ import numpy as np
 
 CHUNK = 256
 PASS_CHARS = 1_000_000  # split at a time, about
-MAX_STATES = 60_000
-MAX_PIECES = 300_000
+MAX_STATES = 250_000  # about 1 KB each
+MAX_PIECES = 400_000  # twice so many may be held
 
 # character classes
 SIGN, LETTER, NUMBER, BLANK, SPACE, QUOTE, PAD = 0, 1, 2, 3, 4, 5, 6
@@ -203,7 +203,7 @@ class Counter:
             return True
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) > 2 * MAX_STATES:
                 self.fits.clear()
             known = self.fits[a, b] = not self._crossed(a, b, len(self.rank) + 1)
         return known
@@ -251,16 +251,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """Values by piece, made when first asked for."""
+    """Values by piece, made when first asked for. When full, the pieces move to an older half, and come back when asked for again."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str):
         if len(self) > MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        value = self[piece] = self.make(piece)
+        value = self.older.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self[piece] = value
         return value
 
 
