@@ -43,32 +43,30 @@ def uniform_of(doc_id: Column) -> Column:
 
 def margins(cells: DataFrame, dimension: str, targets: dict[str, float]) -> DataFrame:
     """(dimension, target weight), in all as much as the cells weigh."""
-    spark = cells.sparkSession
-    sums = cells.groupBy(dimension).agg(F.sum("w").alias("w")).filter("w > 0")
-    given = spark.createDataFrame([(str(k), float(v)) for k, v in targets.items()], f"{dimension} string, part double")
-    left = max(0.0, 1.0 - sum(targets.values()))
-    joined = sums.join(given, dimension, "left")
-    part = F.coalesce("part", F.lit(left) * F.sqrt("w") / F.lit(_sum(joined.filter("part IS NULL"), F.sqrt("w")) or 1.0))
-    shared = keep(joined.withColumn("part", part), f"parts-{dimension}")
-    whole, weight = _sum(shared, F.col("part")), _sum(shared, F.col("w"))
-    return shared.select(dimension, (F.col("part") / whole * weight if whole else F.col("w").cast("double")).alias("target"))
-
-
-def _sum(rows: DataFrame, column: Column) -> float:
-    return float(rows.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("s")).first()["s"])
+    given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets.items()], f"{dimension} string, part double")
+    joined = keep(cells.groupBy(dimension).agg(F.sum("w").alias("w")).filter("w > 0").join(given, dimension, "left"), f"margin-{dimension}")
+    s = joined.agg(F.sum("w").alias("all"), F.sum("part").alias("given"), F.sum(F.when(F.col("part").isNull(), F.sqrt("w"))).alias("roots")).first()
+    left = max(0.0, 1.0 - sum(targets.values())) if s["roots"] else 0.0
+    whole = (s["given"] or 0.0) + left
+    part = F.coalesce("part", F.lit(left) * F.sqrt("w") / F.lit(s["roots"] or 1.0))
+    return joined.select(dimension, (part / whole * s["all"] if whole else F.col("w").cast("double")).alias(f"target_{dimension}"))
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, w) with `raked`."""
-    wanted = {d: keep(margins(cells, d, targets.get(d, {})), f"target-{d}") for d in DIMENSIONS}
     now = cells.withColumn("raked", F.col("w").cast("double"))
+    for d in DIMENSIONS:
+        now = now.join(margins(cells, d, targets.get(d, {})), d)
+    columns = now.columns
+    now = keep(now, "raked")
     for k in range(rounds):
         for d in DIMENSIONS:
-            step = now.groupBy(d).agg(F.sum("raked").alias("have")).join(wanted[d], d).select(
-                d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(F.lit(1.0)).alias("step"))
-            now = now.join(step, d).withColumn("raked", F.col("raked") * F.col("step")).select(*DIMENSIONS, "w", "raked")
-        now = keep(now, "raked")
-    return now
+            have = F.sum("raked")
+            step = now.groupBy(d).agg(F.when(have > 0, F.max(f"target_{d}") / have).otherwise(1.0).alias("step"))
+            now = now.join(step, d).withColumn("raked", F.col("raked") * F.col("step")).select(columns)
+        if k % 2 or k == rounds - 1:
+            now = keep(now, "raked")
+    return now.select(*DIMENSIONS, "w", "raked")
 
 
 def rated(cells: DataFrame, share: float) -> tuple[DataFrame, float]:
@@ -80,7 +78,9 @@ def rated(cells: DataFrame, share: float) -> tuple[DataFrame, float]:
         s = cells.agg(F.sum("w").alias("all"), F.sum(F.when(full, F.col("w"))).alias("full"), F.sum(F.when(~full, F.col("raked"))).alias("open")).first()
         if not s["open"]:
             break
-        rate = (share * s["all"] - (s["full"] or 0)) / s["open"]
+        before, rate = rate, (share * s["all"] - (s["full"] or 0)) / s["open"]
+        if rate == before:
+            break
     return cells, rate
 
 
