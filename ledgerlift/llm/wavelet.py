@@ -14,10 +14,12 @@ Null texts are empty: the end id alone. Repeated rows are written each. Further
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlift.llm.common import on_workers, shared_folder
-from ledgerlift.llm.transducers import MAX_PIECES, compiled, passes, split
+from ledgerlift.llm.transducers import compiled, passes, split
 
 SHARD_IDS = 1_000_000
+KEPT_PIECES = 1_000_000  # whose ids a worker remembers
 BLOCK = 4096  # bits per entry of the rank directory
 SHARD = ("part int, serial int, n_ids long, bits int, docs array<bigint>, lens binary, zeros array<bigint>, ranks binary, "
          "planes array<binary>")
@@ -138,41 +141,59 @@ def matrix_of(row: dict) -> WaveletMatrix:
     return WaveletMatrix(planes, list(row["zeros"]), row["n_ids"], np.split(ranks, len(planes)) if planes else [])
 
 
+class Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembered per piece."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.machine = Tokenizer.from_file(path), compiled(path)
         self.size = self.tokenizer.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.store, self.length, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.begin = np.zeros(1 << 16, np.int64)
-
-    def _add(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            k, n = len(self.index), len(e.ids)
-            if k == len(self.begin):
-                self.begin, self.length = np.resize(self.begin, 2 * k), np.resize(self.length, 2 * k)
-            while self.used + n > len(self.store):
-                self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-            self.store[self.used:self.used + n] = e.ids
-            self.begin[k], self.length[k] = self.used, n
-            self.used += n
-            self.index[piece] = k
+        self.index = Numbers()
+        self.store, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _add(self) -> None:
+        """Encode the pieces that the index met for the first time."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, k = int(sizes.sum()), len(self.index) - len(found)
+        while len(self.index) > len(self.begin):
+            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+        while self.used + n > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        self.store[self.used:self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
+        self.begin[k:k + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self.length[k:k + len(found)] = sizes
+        self.used += n
+        self.index.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if len(self.index) > MAX_PIECES:
+        if len(self.index) > KEPT_PIECES:
             self._forget()
         whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)
                  if any(word in t for word in self.machine.added)}
         pieces, n_pieces = split(["" if k in whole else t for k, t in enumerate(texts)])
-        self._add([p for p in dict.fromkeys(pieces) if p not in self.index])
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if self.index.new:
+            self._add()
         size = self.length[at]
         ends = np.cumsum(size)
         ids = self.store.take(np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0))
