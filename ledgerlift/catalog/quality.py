@@ -200,20 +200,20 @@ def _processed(spark, d):
 
 @query("fact_table", "S8 D9 F16 E8 Q1 A10", f"""WITH {TOTALS} SELECT CAST(c_nationkey AS VARCHAR) AS "Source File", 'SHARMA TRADERS' AS "Agency Name", '01-01-1995' AS "From Date",
   '31-12-2001' AS "To Date", c_mktsegment || ' ZONE' AS "Area", code || ' MEDICAL STORE' AS "Store Name", replace(place, '_', ' ') AS "Store Location", 'CUMULATIVE SUMMARY' AS "Description",
-  CAST(total AS DOUBLE) AS "Amount", 'STATEMENT' AS "Doc Type", 'FORMAT_12_OR_13' AS "Parser Format",
+  CAST(total AS DOUBLE) AS "Amount", 'STATEMENT' AS "Doc Type", 'FORMAT_12_OR_13' AS "Layout",
   CASE WHEN total > 500000 THEN 'UNUSUALLY_LARGE_AMOUNT|QTY_MISSING' ELSE 'QTY_MISSING' END AS "QA Flags" FROM totals""")
 def fact_table(spark, d):
     """The whole pipeline over the summary reports: routed, read, cleaned, reconciled, as the 32-column table."""
     out = _processed(spark, d)
     return plain(out["fact"].select(*[F.col(f"`{c}`") for c in (
-        "Source File", "Agency Name", "From Date", "To Date", "Area", "Store Name", "Store Location", "Description", "Amount", "Doc Type", "Parser Format", "QA Flags")]))
+        "Source File", "Agency Name", "From Date", "To Date", "Area", "Store Name", "Store Location", "Description", "Amount", "Doc Type", "Layout", "QA Flags")]))
 
 
-@query("qa_table", "S9 D10 Q6", f"""WITH {TOTALS} SELECT CAST(c_nationkey AS VARCHAR) AS "Source File", 'FORMAT_12_OR_13' AS "Parser Format", count(*) AS "Total Rows", count(*) AS "Flagged Rows",
+@query("qa_table", "S9 D10 Q6", f"""WITH {TOTALS} SELECT CAST(c_nationkey AS VARCHAR) AS "Source File", 'FORMAT_12_OR_13' AS "Layout", count(*) AS "Total Rows", count(*) AS "Flagged Rows",
   CAST(sum(total) AS DOUBLE) AS "Total Amount", 'NO' AS "QA Pass" FROM totals GROUP BY 1""")
 def qa_table(spark, d):
     out = _processed(spark, d)
-    return plain(out["qa"].select(*[F.col(f"`{c}`") for c in ("Source File", "Parser Format", "Total Rows", "Flagged Rows", "Total Amount", "QA Pass")]).where(
+    return plain(out["qa"].select(*[F.col(f"`{c}`") for c in ("Source File", "Layout", "Total Rows", "Flagged Rows", "Total Amount", "QA Pass")]).where(
         F.col("Total Rows") > 0))
 
 

@@ -61,7 +61,7 @@ def live_sessions(spark, d):
 def live_admission(spark, d):
     prepaid = metering.users(read_table(spark, "customer", folder=d)).where(F.col("plan") == "prepaid") \
         .select("api_key", F.col("credits_remaining").alias("credits"))
-    asks = _log(spark, d).select("log_id", "api_key", "created_at", F.col("pages_billed").alias("need")).join(prepaid, "api_key")
+    asks = _log(spark, d).select("log_id", "api_key", "created_at", F.col("pages_billed").alias("need"), F.col("pages_billed").alias("charge")).join(prepaid, "api_key")
     return spark.read.parquet(_run(spark, jobs.live_admission(asks))).drop("batch")
 
 

@@ -164,7 +164,7 @@ ROLE_SYNONYMS = [
     ("discount", ["DISC", "DISCOUNT", "DISC AMT", "DISC %", "REBATE", "CD"]),
     ("serial", ["SL", "SR", "SR NO", "SR.", "S.NO", "SL NO", "NO."]),
 ]
-NUMERIC_ROLES = ["amount", "taxable", "tax", "sur_tax", "exempted", "round_off", "qty", "free", "rate", "discount"]
+NUMERIC_ROLES = ["amount", "taxable", "tax", "sur_tax", "exempted", "round_off", "qty", "free", "rate", "discount", "free_amt"]
 
 FLAT_READER_HEADERS = [
     r"(?i)Party\s+Name\s+Product\s+Qty\s+Free\s+Rate\s+Amount",

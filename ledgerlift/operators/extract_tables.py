@@ -539,7 +539,7 @@ def inferred_items(lines: DataFrame, agency: DataFrame | None = None) -> DataFra
     body = body.where((F.col("line_no") > F.col("header_line")) & F.col("text").rlike(r"[^\-\*=_\s]")
                       & ~has_any(F.upper("text"), X.REGISTER_STOP_WORDS))
     roles = F.transform("cols", lambda c: c["role"])
-    numeric = F.array(*[F.lit(r) for r in [*L.NUMERIC_ROLES, "free_amt"]])
+    numeric = F.array(*[F.lit(r) for r in L.NUMERIC_ROLES])
     body = body.withColumns({
         "by_store": F.array_contains(roles, "store"), "by_item": F.array_contains(roles, "item"),
         "num_roles": F.filter(roles, lambda r: F.array_contains(numeric, r)), "data": F.col("text").rlike(r"\d+\.\d{2}")})

@@ -1,19 +1,19 @@
 """Order-dependent columns over groups of any size.
 
-A plain window over a document puts the whole document in one task. `scan`
-instead cuts each group into blocks of consecutive positions, runs the window
-inside (group, block), and carries only one summary row per block across the
-group. A document holding a third of all lines is thus spread over as many tasks
-as it has blocks, and the carried part is smaller by the block size.
+A plain window over a document puts the whole document in one task. `scan` instead range-partitions the rows by (keys, position),
+so each partition holds a like number of consecutive rows whatever gaps the positions have, writes them down with their partition's
+number, runs the window inside (group, partition), and carries only one summary row per partition across a group. A document
+holding a third of all lines is spread over as many tasks as its rows fill, and a group's carried part is never longer than the
+number of partitions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlift.session import staged
+
 BLOCK = 65_536
 SALTS = 16
 
@@ -21,7 +21,7 @@ SALTS = 16
 def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | None = None,
          next_fill: dict | None = None, sums: dict | None = None, lags: dict | None = None,
          leads: dict | None = None, fill_before: dict | None = None, tie: str | None = None,
-         block: int = BLOCK) -> DataFrame:
+         parts: int | None = None) -> DataFrame:
     """Add ordered columns.
 
     fill       out -> column: latest non-null value at or before the row
@@ -31,6 +31,10 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     lags       out -> column: value of the row before (null for the first)
     leads      out -> column: value of the row after (null for the last)
     tie        column deciding the order of rows with equal position
+    parts      number of range partitions; the session's shuffle partitions if not given
+
+    The input is computed once and written to the shared folder (jobs that run while the plan is built), so scans on top of scans
+    do not repeat what is below them.
     """
     fill, next_fill, sums, lags, leads, earlier = (d or {} for d in (fill, next_fill, sums, lags, leads, fill_before))
     carry_on = {**fill, **earlier}
@@ -39,10 +43,14 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     at = F.struct(*order)
     inputs = {f"_in_{o}": F.col(c) if isinstance(c, str) else c
               for d in (fill, next_fill, sums, lags, leads, earlier) for o, c in d.items()}
-    base = df.withColumns({**inputs, "_blk": F.floor(F.col(pos) / block).cast("bigint")})
-
-    fwd = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    bwd = Window.partitionBy(*keys, "_blk").orderBy(*back)
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as a struct, null keys are equal to each other: windows, sums and the join share one partitioning
+    # written before, too: the range bounds are sampled in a pass of their own, which must not compute the input again
+    source = staged(df.withColumns({**inputs, "_key": F.struct(*keys)}), "scan-input")
+    base = staged(source.repartitionByRange(n, *keys, *order).withColumn("_blk", F.spark_partition_id()), "scan")
+
+    fwd = Window.partitionBy("_key", "_blk").orderBy(*order)
+    bwd = Window.partitionBy("_key", "_blk").orderBy(*back)
     upto = fwd.rowsBetween(Window.unboundedPreceding, 0)
     # backward fill is a forward running window over the reversed order
     from_here = bwd.rowsBetween(Window.unboundedPreceding, 0)
@@ -74,9 +82,9 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
         aggs.append(F.max(F.struct(at.alias("p"), F.struct(F.col(f"_in_{o}")).alias("v"))).alias(f"_s_{o}"))
     for o in leads:
         aggs.append(F.min(F.struct(at.alias("p"), F.struct(F.col(f"_in_{o}")).alias("v"))).alias(f"_s_{o}"))
-    edges = base.groupBy(*keys, "_blk").agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = base.groupBy("_key", "_blk").agg(*aggs)
+    before = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_key").orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = {}
     for o in carry_on:
         carried[f"_c_{o}"] = F.last(f"_s_{o}", ignorenulls=True).over(before)["v"]
@@ -88,11 +96,9 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
         carried[f"_c_{o}"] = F.last(f"_s_{o}", ignorenulls=True).over(before)["v"]
     for o in leads:
         carried[f"_c_{o}"] = F.last(f"_s_{o}", ignorenulls=True).over(after)["v"]
-    edges = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_blk").alias("_kb"),
-                         *[e.alias(n) for n, e in carried.items()])
+    edges = edges.select("_key", "_blk", *[e.alias(n) for n, e in carried.items()])
 
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    joined = local.join(edges, match & (F.col("_blk") == F.col("_kb")), "left")
+    joined = local.join(edges, ["_key", "_blk"], "left")
     final = {}
     for o in [*carry_on, *next_fill]:
         final[o] = F.coalesce(f"_w_{o}", f"_c_{o}")
@@ -105,19 +111,19 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
 
 
 def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *steps, block: int = BLOCK) -> DataFrame:
-    """Columns that look at most `reach` rows ahead or behind, in one shuffle, for consecutive positions.
+    """Columns that look at most `reach` rows ahead or behind, whatever gaps the positions have.
 
-    Rows near a block edge are copied into the neighbouring block, so every block
-    sees all it needs; the copies leave at the end. Each step maps a window over
-    (group, block) to new columns.
+    Rows are numbered first. Rows near a block edge are copied into the neighbouring block, so every block sees all it needs; the
+    copies leave at the end. Each step maps a window over (group, block) to new columns.
     """
-    own = F.floor(F.col(pos) / block).cast("bigint")
-    near = [F.floor((F.col(pos) + d) / block).cast("bigint") for d in (-reach, 0, reach)]
-    out = df.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(*near))))
-    w = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    numbered = number_rows(df, keys, pos, "_n")
+    own = F.floor(F.col("_n") / block).cast("bigint")
+    near = [F.floor((F.col("_n") + d) / block).cast("bigint") for d in (-reach, 0, reach)]
+    out = numbered.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(*near))))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_n")
     for step in steps:
         out = out.withColumns(step(w))
-    return out.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own")
+    return out.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own", "_n")
 
 
 def number_rows(df: DataFrame, keys: list[str], pos: str, out: str = "line_no", tie: str | None = None) -> DataFrame:

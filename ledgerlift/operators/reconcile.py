@@ -112,8 +112,8 @@ def fact_table(rows: DataFrame, docs: DataFrame) -> DataFrame:
         "Packaging": "packing", "Qty": "qty", "Free": "free", "Rate": "rate", "Amount": "amount", "Percent": "percent",
         "Tax Amount": "tax_amount", "Discount Amount": "discount_amount", "Doc Type": "doc_type", "Bill Date": "bill_date",
         "Bill No": "bill_no", "Taxable": "taxable", "Tax": "tax", "Sur Tax": "sur_tax", "Free Amt": "free_amt",
-        "Exempted": "exempted", "Round Off": "round_off", "Source File": "source_file", "Parser Format": "format_id"}
-    defaults = {"Area": "UNKNOWN AREA", "Store Name": "UNKNOWN STORE", "Parser Format": "UNKNOWN_FORMAT"}
+        "Exempted": "exempted", "Round Off": "round_off", "Source File": "source_file", "Layout": "format_id"}
+    defaults = {"Area": "UNKNOWN AREA", "Store Name": "UNKNOWN STORE", "Layout": "UNKNOWN_FORMAT"}
     cols = []
     for f in FACT.fields:
         c = F.concat_ws("|", "flags") if f.name == "QA Flags" else F.col(source[f.name]).cast(f.dataType)
@@ -188,7 +188,7 @@ def qa_table(qual: DataFrame, docs: DataFrame) -> DataFrame:
     j = qual.join(docs.select("doc_id", "source_file", "agency_name", "format_id", "tier", "confidence"), "doc_id")
     return j.select(
         F.col("source_file").alias("Source File"), F.coalesce("agency_name", F.lit("")).alias("Agency Name"),
-        F.col("format_id").alias("Parser Format"), F.col("total_rows").alias("Total Rows"),
+        F.col("format_id").alias("Layout"), F.col("total_rows").alias("Total Rows"),
         F.col("clean_rows").alias("Clean Rows"), F.col("flagged_rows").alias("Flagged Rows"),
         F.col("total_amount").alias("Total Amount"), F.col("grand_total").alias("Grand Total"),
         F.col("coverage_pct").alias("Coverage %"), F.when(F.col("qa_pass"), "YES").otherwise("NO").alias("QA Pass"),

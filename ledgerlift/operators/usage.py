@@ -184,7 +184,7 @@ def _admit_in_rounds(requests: DataFrame) -> DataFrame:
                .where(F.col("need") <= F.col("left")))
     accepted = None
     while True:
-        run = scan(cand, ["api_key"], "at", sums={"spent": "charge"}, tie="log_id", block=60_000_000)
+        run = scan(cand, ["api_key"], "at", sums={"spent": "charge"}, tie="log_id")
         over = (F.col("spent") - F.col("charge") + F.col("need")) > F.col("left")
         stop = run.groupBy("api_key").agg(F.min(F.when(over, F.struct("at", "log_id"))).alias("stop"))
         run = cut(attach(run, stop, ["api_key"], "log_id"))
@@ -239,7 +239,8 @@ def expired(entries: DataFrame, asof: Column, hours: int = RETENTION_HOURS) -> D
 
 def add_customers(users: DataFrame, new: DataFrame) -> DataFrame:
     """Users plus the new ones whose name is free; new holds api_key, customer_name, plan, credits_remaining."""
-    fresh = new.join(users.select("customer_name"), "customer_name", "left_anti") \
+    once = first_rows(new, ["customer_name"], ["api_key"], 1)  # a name enters once, with its least key
+    fresh = once.join(users.select("customer_name"), "customer_name", "left_anti") \
         .withColumn("pages_processed_this_month", F.lit(0).cast("bigint"))
     return users.unionByName(fresh.select(*users.columns))
 
@@ -251,9 +252,14 @@ def approve_leads(leads: DataFrame, names: DataFrame) -> DataFrame:
         "status", F.when(F.col("hit"), "Approved").otherwise(F.col("status"))).drop("hit").select(*leads.columns)
 
 
-def update_customers(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """New plan and credits by key. changes: api_key, plan, credits_remaining."""
-    c = changes.select("api_key", F.col("plan").alias("new_plan"), F.col("credits_remaining").alias("new_credits"))
+def update_customers(users: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """New plan and credits by key. changes: api_key, plan, credits_remaining.
+
+    Of several changes of a key the last in `order` holds; without an order the greatest (plan, credits), so the result is fixed.
+    """
+    at = F.col(order) if order else F.struct("plan", "credits_remaining")
+    c = changes.groupBy("api_key").agg(F.max(F.struct(at.alias("at"), "plan", "credits_remaining")).alias("c")).select(
+        "api_key", F.col("c.plan").alias("new_plan"), F.col("c.credits_remaining").alias("new_credits"))
     return users.join(c, "api_key", "left").withColumns({
         "plan": F.coalesce("new_plan", "plan"), "credits_remaining": F.coalesce("new_credits", "credits_remaining")}) \
         .select(*users.columns)
@@ -266,6 +272,6 @@ def not_found(users: DataFrame, changes: DataFrame) -> DataFrame:
 
 def rotate_keys(table: DataFrame, mapping: DataFrame, spread: str) -> DataFrame:
     """Replace old keys by new ones in a user table or a log. mapping: old_key, new_key."""
-    m = mapping.select(F.col("old_key").alias("api_key"), "new_key")
+    m = mapping.groupBy(F.col("old_key").alias("api_key")).agg(F.max("new_key").alias("new_key"))  # one new key per old one
     return attach(table, m, ["api_key"], spread).withColumn("api_key", F.coalesce("new_key", "api_key")) \
         .select(*table.columns)

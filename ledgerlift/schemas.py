@@ -43,7 +43,7 @@ FACT = T.StructType([
     T.StructField("Exempted", _MONEY),
     T.StructField("Round Off", _MONEY),
     T.StructField("Source File", T.StringType()),
-    T.StructField("Parser Format", T.StringType()),
+    T.StructField("Layout", T.StringType()),
     T.StructField("QA Flags", T.StringType()),
 ])
 
@@ -51,7 +51,7 @@ FACT = T.StructType([
 QA = T.StructType([
     T.StructField("Source File", T.StringType()),
     T.StructField("Agency Name", T.StringType()),
-    T.StructField("Parser Format", T.StringType()),
+    T.StructField("Layout", T.StringType()),
     T.StructField("Total Rows", T.LongType()),
     T.StructField("Clean Rows", T.LongType()),
     T.StructField("Flagged Rows", T.LongType()),

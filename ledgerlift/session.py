@@ -1,15 +1,17 @@
-"""Session settings and the checkpoint folder.
+"""Session settings and the shared folder for checkpoints and stages.
 
 Nothing here overrides what a cluster already sets: the builder is for local
-runs and tests, and `ensure_checkpoint_dir` only sets a folder when the session
-names none.
+runs and tests. A session that names no folder gets one of its own only when it
+runs on one machine; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF_CHECKPOINT = "spark.checkpoint.dir"
 
@@ -30,18 +32,28 @@ def local_session(cpus: str | int = "*", name: str = "ledgerlift") -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoint(); the session's own setting wins."""
+    """The folder for checkpoint() and stages; the session's own setting wins."""
     sc = spark.sparkContext
     named = spark.conf.get(CONF_CHECKPOINT, None) or sc.getConf().get(CONF_CHECKPOINT, None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    # only a session without any setting (tests, one machine) falls back to a new local folder
+    if not named and not sc.master.startswith("local"):
+        raise ValueError(f"set {CONF_CHECKPOINT} to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="ledgerlift-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a step as a table in the shared folder and read it back: compressed, survives executor loss, read by many branches."""
+    spark = df.sparkSession
+    typed = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if f.dataType.typeName() == "void"})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    typed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, drops the lineage of an iterative job."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -25,25 +25,23 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def store_documents(fact: DataFrame) -> DataFrame:
     """Rows nested into (file, area, store) documents: the unit of the JSON sink.
 
-    A store, not a whole report, is one JSON record, so no record grows with the
-    report; `nest_report` gives the three-level form for reports of bounded size.
+    A store, not a whole report, is one JSON record; `nest_report` gives the three-level form, one record per report, which must
+    fit a row.
     """
     item = F.struct(
         F.col("line_no"), F.col("description").alias("Description"), F.col("brand").alias("Brand_Name"),
         F.col("dosage").alias("Dosage"), F.col("packing").alias("Packaging"), F.col("qty").alias("Qty"),
         F.col("free").alias("Free"), F.col("rate").alias("Rate"), F.col("amount").alias("Amount"),
         F.col("percent").alias("Percent"))
-    chunk = F.floor(F.col("line_no") / 65_536)
     return (
-        fact.groupBy("doc_id", "area", "store_name", "store_location", chunk.alias("chunk"))
+        fact.groupBy("doc_id", "area", "store_name", "store_location")
         .agg(F.array_sort(F.collect_list(item)).alias("Items"))
     )
 
 
 def nest_report(fact: DataFrame) -> DataFrame:
-    """Report documents Areas > Stores > Items, for reports whose rows fit one record (check with row counts first)."""
-    stores = store_documents(fact).groupBy("doc_id", "area", "store_name", "store_location") \
-        .agg(F.flatten(F.array_sort(F.collect_list("Items"))).alias("Items"))
+    """Report documents Areas > Stores > Items, for reports whose rows fit one record; the caller checks their number."""
+    stores = store_documents(fact)
     areas = stores.groupBy("doc_id", "area").agg(F.array_sort(F.collect_list(F.struct(
         F.col("store_name").alias("StoreName"), F.col("store_location").alias("StoreLocation"), "Items")))
         .alias("Stores"))

@@ -18,12 +18,12 @@ from ledgerlift.operators.usage import RATE_LIMIT, RATE_WINDOW
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """The parquet files of one table as a stream; the schema is taken from the files present."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """The parquet files of one table, a file or a folder of part files, as a stream; the schema is taken from the files present."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def read_report_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -82,9 +82,9 @@ def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     batch = pd.concat(list(frames)).sort_values(["created_at", "log_id"])
     left = state.get[0] if state.exists else int(batch["credits"].iloc[0])
     verdicts = []
-    for need in batch["need"]:
+    for need, charge in zip(batch["need"], batch["charge"]):
         served = left >= need
-        left -= int(need) if served else 0
+        left -= int(charge) if served else 0
         verdicts.append(served)
     state.update((left,))
     yield pd.DataFrame({"api_key": key[0], "log_id": batch["log_id"], "accepted": verdicts})
@@ -93,8 +93,8 @@ def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def live_admission(requests: DataFrame) -> DataFrame:
     """Credit admission with the remaining credits kept as state per key.
 
-    requests: api_key, log_id, created_at, need, credits. A key's rows of one
-    micro-batch are handled together; the trigger's file limit bounds them.
+    requests: api_key, log_id, created_at, need, charge (0 if the request crashes), credits. A key's rows of one micro-batch are
+    handled together; `files_per_batch` of the source bounds them. Order holds within a batch and between batches as they arrive.
     """
     return requests.groupBy("api_key").applyInPandasWithState(
         _decide, outputStructType=_ADMITTED, stateStructType="left long", outputMode="append",

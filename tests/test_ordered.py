@@ -17,7 +17,7 @@ def test_scan_matches_brute_force(spark):
         rows += [(key, p, rng.choice([None, None, rng.randint(1, 9)])) for p in sorted(rng.sample(range(1000), n))]
     df = spark.createDataFrame(rows, "k string, p long, m int")
     got = {(r.k, r.p): r for r in scan(df, ["k"], "p", fill={"f": "m"}, next_fill={"nf": "m"}, fill_before={"fb": "m"}, sums={"s": F.lit(1)},
-                                       lags={"l": "p"}, leads={"d": "p"}, block=17).collect()}
+                                       lags={"l": "p"}, leads={"d": "p"}, parts=7).collect()}
     for key in ("hot", "cold", "one"):
         mine = [r for r in rows if r[0] == key]
         for i, (_, p, m) in enumerate(mine):
@@ -38,6 +38,21 @@ def test_neighbours_cross_block_edges(spark):
         assert r.n2 == (r.p + 2 if r.p + 2 < 50 else None) and r.b1 == (r.p - 1 if r.p else None)
 
 
+def test_neighbours_over_gaps(spark):
+    places = [0, 1, 2, 3, 12, 13, 90, 91, 92, 400]
+    df = spark.createDataFrame([("a", p) for p in places], "k string, p long")
+    got = {r.p: r.n1 for r in neighbours(df, ["k"], "p", 1, lambda w: {"n1": F.lead("p").over(w)}, block=4).collect()}
+    assert got == dict(zip(places, [*places[1:], None]))
+
+
+def test_nested_scans_read_their_input_once(spark):
+    df = spark.range(100).select(F.lit("hot").alias("k"), (F.col("id") * 1_000_003).alias("p"))
+    for n in range(4):
+        df = scan(df, ["k"], "p", sums={f"s{n}": F.lit(1)})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2 and [r.s3 for r in df.orderBy("p").collect()] == list(range(1, 101))
+
+
 def _rebuild(lines):
     out, i = [], 0
     while i < len(lines):
