@@ -194,7 +194,7 @@ def _processed(spark, d):
     """One pipeline run per session and folder; its three result tables are queries of their own."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _RUNS:
-        _RUNS[key] = pipeline.process(render.summary_report(spark, d), report_types=["SUMMARY"])
+        _RUNS[key] = pipeline.process(render.summary_report(spark, d))
     return _RUNS[key]
 
 

@@ -33,7 +33,7 @@ def test_pipeline_on_one_report(spark):
         "RAM TRADERS\nGSTIN : 29ABCDE1234F1Z5\n01-04-2024 TO 30-04-2024\nSTORENAME STORE LOCATION SALES RETURN AMOUNT\n"
         "1 SHARMA MEDICAL STORE, AMBALA 1,200.50", "1\nPage 2\n2 GUPTA\nPHARMACY KARNAL 800.00\nGRAND TOTAL 2,000.50"])
     lines = document_lines(spark.createDataFrame([("r1", text)], "doc_id string, text string"))
-    out = process(lines, report_types=["SUMMARY"])
+    out = process(lines)
     fact = {r["Store Name"]: r for r in out["fact"].collect()}
     assert fact["SHARMA MEDICAL STORE"]["Amount"] == Decimal("1200.50") and fact["SHARMA MEDICAL STORE"]["Store Location"] == "AMBALA"
     assert sum(r["Amount"] for r in fact.values()) == Decimal("2000.50")
@@ -69,3 +69,16 @@ def test_rate_limit_default(spark):
     from ledgerlift.operators.usage import rate_limited
     log = spark.range(30).select(F.lit("k").alias("api_key"), F.timestamp_seconds(F.col("id") * 2).alias("created_at"))
     assert [(r.n, r.over) for r in rate_limited(log).collect()] == [(30, 10)]
+
+
+def test_no_document_is_lost(spark):
+    rows = "\n".join(f"{name}\tPARACIP 500 TAB\t10*10\t{k + 2}\t{10 * k + 12}.50\t{100 * k + 125}.00"
+                     for k, name in enumerate(["SHARMA STORES", "GUPTA STORES", "VERMA STORES", "KHANNA STORES", "MEHTA STORES"]))
+    docs = [("inferred", f"RAM TRADERS\nAPRIL\n{rows}"),
+            ("plain", "RAM TRADERS\nBUSY PARTY WISE PRODUCT WISE\nGUPTA MEDICAL STORE, KARNAL 2 1 800.00\nVERMA MEDICAL STORE, AMBALA 1 0 450.00"),
+            ("empty", "nothing here")]
+    out = process(document_lines(spark.createDataFrame(docs, "doc_id string, text string")))
+    kinds = {r.doc_id: r.report_type for r in out["routed"].collect()}
+    items = out["items"].groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in items} >= {"inferred", "plain"}, (kinds, items)
+    assert {r["Source File"] for r in out["qa"].collect()} == {"inferred", "plain", "empty"}
