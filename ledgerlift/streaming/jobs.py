@@ -20,9 +20,12 @@ from ledgerlift.operators.usage import RATE_LIMIT, RATE_WINDOW
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """The parquet files of one table, a file or a folder of part files, as a stream; the schema is taken from the files present."""
     path = f"{folder}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):  # a stream's source must be a folder
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return reader.parquet(path)
 
 
