@@ -256,6 +256,49 @@ VENDORS = [
     ("GENERIC", [r"(?:TAX\s+)?INVOICE", r"Bill\s+No", r"GST\s+(?:IN|No)"]),
 ]
 
+# --- fixed values: what is scrubbed from descriptions, store names and locations, in order ---
+LEADING_COLUMN_WORDS = (
+    r"^(?:\s*(?:EXP(?:IRY)?\.?\s*|MFG\.?\s*|BATCH(?:\.?\s*NO\.?)?\s*|HSN(?:\s*CODE)?\.?\s*|GSTIN?\s*|MRP\.?\s*|RATE\.?\s*|"
+    r"QTY\.?\s*|FREE\.?\s*|AMOUNT\.?\s*|AMT\.?\s*|DISC(?:OUNT)?\.?\s*|FR(?:EE)?\.?\s*|TAX(?:ABLE)?\.?\s*|SGST\.?\s*|"
+    r"CGST\.?\s*|IGST\.?\s*|NET\.?\s*|GROSS\.?\s*|TOTAL\.?\s*|ROUND(?:ED)?(?:\s+OFF)?\.?\s*|CODE\.?\s*|NO\.?\s*|SL\.?\s*|"
+    r"SR\.?\s*|[A-Z]{1,3}\s*\d{1,2}\s*%)+)+"
+)
+DESCRIPTION_SERIALS = [
+    (r"^\s*\d{1,4}[\.\)\-]+\s+", ""),
+    (r"^(?!\s*(?i:24|3D|5D|A2Z|B12|A\s*2\s*Z)\b)\s*\d{1,3}\s+(?=[A-Za-z])", ""),
+]
+DESCRIPTION_SCRUBS = [
+    (r"[*.\-=,]{2,}", " "),
+    (r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", " "),
+    (r"(?i)\b(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s*'?-?\s*\d{2,4}\b", " "),
+    (r"\b\d{1,2}\s*%\b", " "),
+    (r"\b(?!\d+\s*[xX\*]\s*\d+[A-Z]*\b)(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*\d{3})[A-Z0-9]{6,15}\b", " "),
+    (r"\b\d{4,6}[A-Z]{1,3}(?:\s+[A-Z]{1,3})?\b", " "),
+    (r"\b[A-Za-z]{0,4}\d{4,8}\b", " "),
+    (r"^\s*[A-Z]\s+(?=[A-Za-z]{3,})", ""),
+    (r"^\s*[A-Za-z]\s*\d{3,6}\b", " "),
+    (r"\b[A-Z]\s*\d{3,6}\s*$", " "),
+    (AGENCY_PHRASE, ""),
+]
+GLUED_SCRUBS = [
+    (r"([A-Za-z]{3,})(\d{1,2}[/\-\.\|]\d{2,4})\b", "$1 $2"),
+    (r"\b(\d{1,2}[/\-\.\|]\d{2,4})([A-Za-z]{3,})", "$1 $2"),
+    (r"([A-Za-z]{3,})(\d+\s*[xX\*]\s*\d+)\b", "$1 $2"),
+    (r"[\(\[\{<].*?[\)\]\}>]", " "),
+]
+STORE_SCRUBS = [
+    (r"^[A-Z0-9]+\s*-\s*", ""),
+    (r"[\(\[\{<].*?[\)\]\}>]", " "),
+    (r"(?is)(?:\bDL\.?\s*NO|\bGST|\bTIN|\bMOB|\bPH:|\bINV\b).*$", ""),
+    (r"\b\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4}\b", " "),
+    (r"(?i)\bDATE\b", " "),
+]
+LOCATION_SCRUBS = [
+    (r"\b\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4}\b", " "),
+    (TRADE_WORD, ""),
+    (AGENCY_PHRASE, ""),
+]
+
 
 def any_of(words) -> str:
     """One alternation for a list of literal words (quoted, so dots and pluses stay literal)."""
