@@ -48,9 +48,10 @@ def _template(rows: DataFrame, window: int, name: str, value: Column) -> DataFra
                 .when(F.lower(w).isin(UNITS), F.lit("%")))
 
     kinds = core.select(name, "core", F.zip_with("core", "before", kind).alias("kinds"))
-    listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.coalesce(k, F.lower(w))))
+    listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.xxhash64(F.coalesce(k, F.lower(w)))))
+    # single elements are read in constant time; a slice would copy the whole array for each window
     windows = F.when(F.size("t") >= window, F.transform(
-        F.sequence(F.lit(0), F.size("t") - window), lambda i: F.xxhash64(F.slice("t", i + 1, window))))
+        F.sequence(F.lit(0), F.size("t") - window), lambda i: F.xxhash64(*[F.get("t", i + k) for k in range(window)])))
     # exploded as an expression: of a column Spark would infer a filter and make the arrays again below
     return listed.select(name, "core", "kinds", F.posexplode(windows).alias("i", "hash"))
 
