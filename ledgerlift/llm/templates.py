@@ -1,29 +1,37 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose outer punctuation and are lower-cased; numbers, units and names become typed placeholders whose values are kept as slots (a
-name is a capitalised word that does not open a sentence). Windows of `window` template words of the benchmark items meet the
-documents' windows in a hash join. Windows of one document and item that lie on one diagonal are put together; the pair is a leak if they
-cover half of the item and at least `least` of its words (all, if it has fewer), and if the slots agree: equal values of the item have
-equal values in the document and the other way round. So a question with other numbers or names is caught, and chance hits of
-placeholders are not.
+Words lose outer punctuation and are lower-cased; numbers, units and capitalised words become typed placeholders whose values are kept
+as slots. A word that opens a sentence may be a name, so it is a placeholder like one. A run of capitalised words also counts as one
+placeholder, so a name may have more words in the document than in the item ('Mary Ann' for 'Bob'). Windows of `window` tokens of the
+benchmark items meet the documents' windows in a hash join; for documents in lower case the items' windows are also made with openers, or
+all words, in lower case. Windows of one document and item that lie on one diagonal, or within NEAR words of it, are put together; the
+pair is a leak if they cover half of the item and at least `least` of its words (all, if it has fewer), and if the slots agree in most
+windows (equal values of the item have equal values in the document and the other way round), or if windows with the item's own
+values alone cover as much. So a question with other numbers or names is caught, and chance hits of placeholders are not.
 
 The benchmark's windows are broadcast only when their counted number is below BROADCAST_WINDOWS; beyond it the join is shuffled. Only
 DataFrame functions.
 
 Null or empty texts have no windows. Items that differ in nothing but their id count once, under the least id; items shorter than `window`
-words cannot be found. Windows that are mostly placeholders do not count. A document is doc_id and text, so repeated rows give one
+words cannot be found. Windows that are mostly placeholders, openers left aside, do not count. A document is doc_id and text, so repeated rows give one
 result and null ids do not mix. Further columns pass through `without_leaks`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerlift.llm.common import keep, words
 
 WINDOW = 8
 LEAST = 13
+NEAR = 8  # diagonals so many words apart count together
+NAME, OPENER = "@", "^"  # kinds of capitalised words; both are one placeholder
+CUT = "~"
 BROADCAST_WINDOWS = 2_000_000  # rows of 16 bytes and their slots
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡·"  # what is cut from the ends of words
 UNITS = ("mm cm m km ml l g kg mg lb lbs oz inch inches foot feet yard yards mile miles meter meters metre metres liter liters litre "
@@ -35,8 +43,9 @@ def _doc() -> Column:
     return F.struct("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
 
 
-def _template(rows: DataFrame, window: int, name: str, value: Column) -> DataFrame:
-    """For each window of each row: the value under its name, place i and hash, and the row's arrays core and kinds."""
+def _template(rows: DataFrame, window: int, name: str, value: Column, opener: str | None = OPENER) -> DataFrame:
+    """For each window of each row: the value under its name, first word i, number of words and hash, whether runs are one placeholder
+    in it, and the row's arrays core and kinds. Openers are of kind `opener`; without one they stay words."""
     # arrays are zipped, never indexed from inside a lambda: an indexed one could be made again for every element
     bare = lambda w: F.btrim(w, F.lit(OUTER))
     raw = rows.select(value.alias(name), F.filter(words(F.col("text")), lambda w: bare(w) != "").alias("raw"))
@@ -44,47 +53,99 @@ def _template(rows: DataFrame, window: int, name: str, value: Column) -> DataFra
 
     def kind(w: Column, before: Column) -> Column:
         first = F.substring(w, 1, 1)
-        return (F.when((first >= "0") & (first <= "9"), F.lit("#")).when((first != F.lower(first)) & ~before.rlike(r"[.!?:]\W*$"), F.lit("@"))
+        return (F.when((first >= "0") & (first <= "9"), F.lit("#"))
+                .when(first != F.lower(first), F.when(before.rlike(r"[.!?:]\W*$"), F.lit(opener)).otherwise(F.lit(NAME)))
                 .when(F.lower(w).isin(UNITS), F.lit("%")))
 
     kinds = core.select(name, "core", F.zip_with("core", "before", kind).alias("kinds"))
-    listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.xxhash64(F.coalesce(k, F.lower(w)))))
+    listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.xxhash64(
+        F.when(k == OPENER, F.lit(NAME)).otherwise(F.coalesce(k, F.lower(w))))))
+    n = F.size("t")
     # single elements are read in constant time; a slice would copy the whole array for each window
-    windows = F.when(F.size("t") >= window, F.transform(
-        F.sequence(F.lit(0), F.size("t") - window), lambda i: F.xxhash64(*[F.get("t", i + k) for k in range(window)])))
+    plain = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(
+        i.alias("i"), F.lit(window).alias("n"), F.xxhash64(*[F.get("t", i + k) for k in range(window)]).alias("hash"), F.lit(False).alias("runs"))))
+    # windows that hold a run of names, with the run as one token; heads: words that do not go on with a run, and the end
+    heads = F.filter(F.transform("kinds", lambda k, p: F.when(~(_goes_on(k, F.get("kinds", p - 1))), p)), lambda p: p.isNotNull())
+    listed = listed.withColumn("heads", F.concat(heads, F.array(n)))
+    far = lambda p: F.get("heads", p + window)
+    starts = F.when((F.size("heads") <= n) & (F.size("heads") > window), F.filter(
+        F.transform(F.sequence(F.lit(0), F.size("heads") - window - 1), lambda p: F.when(far(p) - F.get("heads", p) > window, p)), lambda p: p.isNotNull()))
+    merged = F.transform(starts, lambda p: F.struct(
+        F.get("heads", p).alias("i"), (far(p) - F.get("heads", p)).alias("n"),
+        F.xxhash64(*[F.get("t", F.get("heads", p + k)) for k in range(window)]).alias("hash"), F.lit(True).alias("runs")))
+    empty = F.array().cast("array<struct<i:int,n:int,hash:bigint,runs:boolean>>")
     # exploded as an expression: of a column Spark would infer a filter and make the arrays again below
-    return listed.select(name, "core", "kinds", F.posexplode(windows).alias("i", "hash"))
+    return listed.select(name, "core", "kinds", F.explode(F.concat(F.coalesce(plain, empty), F.coalesce(merged, empty))).alias("at")).select(
+        name, "core", "kinds", "at.*")
+
+
+def _goes_on(kind: Column, before: Column) -> Column:
+    """Whether a name goes on with the run of capitalised words before it."""
+    return F.coalesce((kind == NAME) & before.isin(NAME, OPENER), F.lit(False))
+
+
+def _slots() -> Column:
+    """Kind and value of each placeholder in the window at i; a run is one value where it is one placeholder. The value has CUT before it
+    at an end of the window that cuts a run."""
+    at, n = F.col("i") + 1, F.col("n")
+    kinds, core = F.slice("kinds", at, n), F.slice("core", at, n)
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), kinds), F.lit(1), n)
+    kind_at = lambda i: F.get("kinds", i)
+    head, tail = _goes_on(kind_at(at - 1), kind_at(at - 2)), _goes_on(kind_at(at + n - 1), kind_at(at + n - 2))
 
+    def part(e: Column, q: Column) -> Column:
+        mark = F.when(e["k"] == OPENER, F.lit(NAME)).otherwise(e["k"])
+        cut = F.when(((q == 0) & head) | ((q == n - 1) & tail), F.lit(CUT)).otherwise("")
+        joint = F.when(F.col("runs") & _goes_on(e["k"], e["b"]), F.lit("_")).otherwise(F.concat(F.lit(" "), mark, cut))
+        return F.when(e["k"].isNotNull(), F.concat(joint, F.lower(e["w"])))
+    return F.filter(F.split(F.array_join(F.transform(F.arrays_zip(kinds.alias("k"), core.alias("w"), before.alias("b")), part), ""), " "), lambda s: s != "")
 
-def _slots(window: int) -> Column:
-    """Kind and value of each placeholder in the window at i."""
-    at = F.col("i") + 1
-    return F.filter(F.zip_with(F.slice("kinds", at, window), F.slice("core", at, window), lambda k, w: F.concat(k, F.lower(w))), lambda s: s.isNotNull())
+
+def _asked(benchmark: DataFrame, window: int) -> DataFrame:
+    """The items' windows: as they are, and with openers or all words in lower case for documents that write them so."""
+    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id"))
+    found = []
+    for rows, opener in ((items, OPENER), (items, None), (items.withColumn("text", F.lower("text")), None)):
+        made = _template(rows, window, "item_id", F.col("item_id"), opener).withColumn("item_slots", _slots())
+        openers = F.size(F.filter(F.slice("kinds", F.col("i") + 1, F.col("n")), lambda k: k == OPENER))
+        found.append(made.filter(2 * (F.size("item_slots") - openers) <= window).select(
+            "item_id", F.size("core").alias("tokens"), F.col("i").alias("j"), F.col("n").alias("m"), "hash", "item_slots"))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _covered(wins: Column) -> Column:
+    """Words of the item under any of the windows."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
+    step = lambda a, w: F.struct(F.greatest(a["end"], w["j"] + w["m"]).alias("end"),
+                                 (a["sum"] + F.greatest(F.lit(0), w["j"] + w["m"] - F.greatest(a["end"], w["j"]))).alias("sum"))
+    return F.aggregate(F.array_sort(wins), zero, step, lambda a: a["sum"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """One row per leaked document and item: doc (key), item_id, n_tokens of the item, n_covered, n_slots, same_values."""
-    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    asked = _template(items, window, "item_id", F.col("item_id")).select(
-        "item_id", F.size("core").alias("tokens"), F.col("i").alias("j"), "hash", _slots(window).alias("item_slots"))
-    asked = keep(asked.filter(2 * F.size("item_slots") <= window), "item-windows")
+    asked = keep(_asked(benchmark, window), "item-windows")
     seen = _template(docs, window, "doc", _doc())
     if asked.count() <= BROADCAST_WINDOWS:  # slots are then made for the hits only
-        hits = seen.join(F.broadcast(asked), "hash").withColumn("slots", _slots(window))
+        hits = seen.join(F.broadcast(asked), "hash").withColumn("slots", _slots())
     else:
-        hits = seen.select("doc", "i", "hash", _slots(window).alias("slots")).join(asked, "hash")
+        hits = seen.select("doc", "i", "hash", _slots().alias("slots")).join(asked, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    on_line = hits.groupBy("doc", "item_id", "tokens", (F.col("i") - F.col("j")).alias("shift")).agg(
-        F.sort_array(F.collect_set("j")).alias("js"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    covered = F.aggregate(F.transform("js", lambda j, k: F.least(F.lit(window), F.coalesce(F.get("js", k + 1) - j, F.lit(window)))),
-                          F.lit(0), lambda a, b: a + b)
-    n = F.size("pairs")
-    agree = (F.size(F.array_distinct("pairs.item")) == n) & (F.size(F.array_distinct("pairs.doc")) == n)
-    enough = (2 * F.col("covered") >= F.col("tokens")) & (F.col("covered") >= F.least(F.lit(least), "tokens"))
-    same = ~F.exists("pairs", lambda p: p["item"] != p["doc"])
-    found = on_line.withColumn("covered", covered).filter(agree & enough).withColumn("same", same)
+    key = ["doc", "item_id", "tokens"]
+    on_line = hits.groupBy(*key, (F.col("i") - F.col("j")).alias("shift")).agg(F.collect_set(F.struct("j", "m", pairs.alias("pairs"))).alias("own"))
+    near = F.array_distinct(F.flatten(F.collect_list("own").over(W.partitionBy(*key).orderBy("shift").rangeBetween(-NEAR, NEAR))))
+    # a diagonal may pass alone, or with those beside it
+    sets = on_line.withColumn("near", near).select(*key, F.explode(F.array("own", "near")).alias("wins"))
+    enough = lambda n: (2 * n >= F.col("tokens")) & (n >= F.least(F.lit(least), "tokens"))
+    differ = lambda p: F.translate(p["item"], CUT, "") != F.translate(p["doc"], CUT, "")
+    cut = lambda p: (F.substring(p["item"], 2, 1) == CUT) | (F.substring(p["doc"], 2, 1) == CUT)
+    sets = sets.withColumn("covered", _covered(F.col("wins"))).filter(enough(F.col("covered")))
+    sets = sets.withColumn("pairs", F.array_distinct(F.flatten(F.col("wins.pairs"))))
+    clash = F.filter("pairs", lambda p: ~cut(p) & F.exists("pairs", lambda q: ~cut(q) & ((p["item"] == q["item"]) != (p["doc"] == q["doc"]))))
+    sets = sets.withColumn("clash", clash).withColumn("verbatim", _covered(F.filter("wins", lambda w: ~F.exists(w["pairs"], differ))))
+    agree = 2 * F.size(F.filter("wins", lambda w: ~F.arrays_overlap(w["pairs"], F.col("clash")))) > F.size("wins")
+    found = sets.filter(agree | enough(F.col("verbatim"))).withColumn("same", ~F.exists("pairs", differ))
     best = F.max(F.struct(F.col("covered"), F.col("same"), F.size("pairs").alias("n_slots")))
-    return found.groupBy("doc", "item_id", "tokens").agg(best.alias("b")).select(
+    return found.groupBy(*key).agg(best.alias("b")).select(
         "doc", "item_id", F.col("tokens").cast("long").alias("n_tokens"), F.col("b.covered").cast("long").alias("n_covered"),
         F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.same").alias("same_values"))
 

@@ -66,6 +66,16 @@ def test_templates(spark):
     assert templates.leaks(docs.limit(0), items).collect() == templates.leaks(docs, items.limit(0)).collect() == []
 
 
+def test_templates_other_names_and_values(spark):
+    item = "The shop sold 40 pens on Monday. Anna bought 6 of them. How many pens are left?"
+    twice = "A farmer keeps 12 hens and 12 geese in a large wooden barn behind the old stone house near the river."
+    items = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    texts = [item.replace("Anna", "Peter"), item.replace("Anna", "Mary Ann"), "xx " + item.replace("Anna", "Mary Ann Smith").replace("40", "55"),
+             item.lower(), twice.replace("12 geese", "13 geese"), "The shop sold nothing on Monday. How many pens are left?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_templates_find_every_passage(spark, documents, data):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     found = {(r.doc.doc_id, r.item_id) for r in templates.leaks(documents, items).collect()}
