@@ -10,7 +10,7 @@ times and LIFT times as often as in U are kept, at most MAX_FEATURES by differen
 
 The sample is bounded by documented parameters, MAX_POSITIVE and MAX_UNLABELLED, taken by hash of doc_id. Labels are learned only from
 rows whose crc32(doc_id) mod 5 is not 0, and U leaves these rows out too; labels, lang, source and doc_id are never features. Everything
-is scored, over whole texts.
+is scored, over whole texts. Texts with exactly the same features count once on each side of the sample.
 
 Null or empty texts have no features and get the score of the intercept. A null doc_id counts as held out. Repeated rows are scored each;
 repeated labels of a document count as toxic if one is. Without a confirmed toxic row all scores are 0. Further columns are ignored.
@@ -58,13 +58,15 @@ def _within(rows: DataFrame, bound: int) -> DataFrame:
 
 
 def _word_features(docs: DataFrame) -> DataFrame:
-    """(positive, part, features, sketch): the distinct features of each document, and a min-hash of them that near copies share."""
+    """(positive, part, features, sketch): the distinct features of each document, a hash of all of them, and a part that follows from the
+    hash, so that rows with the same features are equal and it does not matter which one stays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = [sorted({f for w in set((t or "").split()) for f in features_of(w)}) for t in rb.column("text").to_pylist()]
-            sketch = pa.array([min((xxhash.xxh3_64_intdigest(f) >> 1 for f in fs), default=0) for fs in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([rb.column("positive"), rb.column("part"), pa.array(out, pa.list_(pa.string())), sketch],
-                                             ["positive", "part", "features", "sketch"])
+            sketch = [xxhash.xxh3_64_intdigest("\n".join(fs)) >> 1 for fs in out]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("positive"), pa.array([h % MEMBERS for h in sketch], pa.int64()), pa.array(out, pa.list_(pa.string())), pa.array(sketch, pa.int64())],
+                ["positive", "part", "features", "sketch"])
     return docs.mapInArrow(run, "positive boolean, part long, features array<string>, sketch long")
 
 
@@ -104,12 +106,11 @@ def learned(docs: DataFrame, labels: DataFrame, least: int = 3) -> tuple[list[st
     if not counts["p"]:
         return [], np.zeros((0, 1))
     prior = min(0.5, max(1e-3, counts["p"] / counts["n"]))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(MEMBERS)).alias("part")
     texts = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     toxic = _within(known.filter("toxic = 1"), MAX_POSITIVE).select("doc_id")
     positive = texts.join(F.broadcast(toxic), "doc_id")  # bounded by MAX_POSITIVE ids
-    chosen = positive.select(F.lit(True).alias("positive"), part, "text").union(
-        _within(texts, MAX_UNLABELLED).select(F.lit(False).alias("positive"), part, "text"))
+    chosen = positive.select(F.lit(True).alias("positive"), "text").union(
+        _within(texts, MAX_UNLABELLED).select(F.lit(False).alias("positive"), "text"))
     sample = keep(_word_features(chosen).dropDuplicates(["positive", "sketch"]), "toxic-sample")  # copies must not vote many times
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
