@@ -139,7 +139,7 @@ def test_non_negative_risk():
 def test_toxicity_sample_drops_exact_copies_only(spark):
     shared = " ".join(f"word{k}" for k in range(60))
     texts = [f"{shared} own{k}" for k in range(30)] + ["own0, " + shared, None, ""]
-    rows = toxicity._word_features(spark.createDataFrame([(True, t) for t in texts], "positive boolean, text string")).collect()
+    rows = toxicity._word_features(spark.createDataFrame([(True, 0, t) for t in texts], "positive boolean, part long, text string")).collect()
     assert len({r.sketch for r in rows}) == len({tuple(r.features) for r in rows}) == 31
     assert len({(r.sketch, r.part) for r in rows}) == 31 and {r.part for r in rows} <= set(range(toxicity.MEMBERS))
 
