@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, line_runs, lm_score, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
+from ledgerlift.llm import jaccard, line_runs, lm_score, manifest, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return scores.select("doc_id", "n_words", "n_backoff", "n_unseen", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
+
+
+def _sql_fields(text: str) -> str:
+    return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ["doc_id", "source", "lang", "n_chars", text])
+
+
+def _sql_walk(walk: str, level: str, start: str) -> str:
+    """A node's climb through the runs of its tree: fold and siblings so far."""
+    return f"""{walk}(row, lang, level, pos, folded, sibs) AS ({start}
+  UNION ALL
+  SELECT w.row, w.lang, w.level + 1, w.pos // 8, sha256(array_to_string(nodes[1:pos % 8], '') || folded || array_to_string(nodes[pos % 8 + 2:], '')),
+    sibs || array_to_string(nodes[1:pos % 8], '') || array_to_string(nodes[pos % 8 + 2:], '')
+  FROM {walk} w JOIN {level} r ON r.lang IS NOT DISTINCT FROM w.lang AND r.level = w.level AND r.run = w.pos // 8)"""
+
+
+@query("op13_manifest", f"""
+WITH RECURSIVE leaf AS (
+  SELECT *, row_number() OVER () AS row, sha256({_sql_fields("text")}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+      lambda crc, b: list_reduce(range(8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, xor(crc, b)), 4294967295), 4294967295) % 3 = 0
+      THEN sha256({_sql_fields("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS altered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+nodes(lang, level, pos, node, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8),
+runs AS (SELECT lang, level, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM nodes WHERE n > 1 GROUP BY ALL),
+{_sql_walk("walk", "runs", "SELECT row, lang, 0, pos, coalesce(altered, leaf), '' FROM placed")},
+subroots AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+tops(lang, level, pos, node, n) AS (
+  SELECT 0, 0, pos, node, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY lang, level, pos // 8),
+top_runs AS (SELECT lang, level, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM tops WHERE n > 1 GROUP BY ALL),
+done AS (SELECT row, lang, arg_max(folded, level) AS folded, arg_max(sibs, level) AS sibs FROM walk GROUP BY row, lang),
+{_sql_walk("top_walk", "top_runs", "SELECT row, 0, 0, pos, folded, sibs FROM done JOIN subroots s ON s.lang IS NOT DISTINCT FROM done.lang")},
+proven AS (SELECT row, arg_max(folded, level) AS folded, arg_max(sibs, level) AS sibs FROM top_walk GROUP BY row)
+SELECT doc_id, leaf, s.node AS subroot, t.node AS root, sha256(sibs) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
+FROM leaf JOIN proven USING (row) JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaf.lang JOIN tops t ON t.n = 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
