@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import jaccard, line_runs, lm_score, manifest, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
+from ledgerlift.llm import alignment, jaccard, line_runs, lm_score, manifest, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backoff", "n_unseen", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 def _sql_fields(text: str) -> str:
     return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ["doc_id", "source", "lang", "n_chars", text])
 
