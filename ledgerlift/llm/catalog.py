@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import alignment, jaccard, line_runs, lm_score, manifest, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
+from ledgerlift.llm import alignment, factors, jaccard, line_runs, lm_score, manifest, mixing, quality, templates, token_counts, toxicity, url_rules, wavelet
 from ledgerlift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backoff", "n_unseen", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
 
+@query("op11_substring_copies")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.without_copies(table(spark, sf_dir, "documents"))
+
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
