@@ -15,8 +15,8 @@ occurs elsewhere are checked themselves: grouped by hash, those after the first
 repeated window is never inside a span (there is nothing before it to copy from), so it is among the checked ones and no copy is
 missed. Long copies cost rows for their boundaries only.
 
-Counts and least places are combined before the shuffle, so a very common seed or window is one row per task; joins back are split by
-adaptive execution where a key is hot. Documents are kept in buckets by row, so their texts are not shuffled. Words, seeds and windows
+Counts and least places are combined before the shuffle, so a very common seed or window is one row per task; a document has a seed or
+window once in a join, and joins are split by adaptive execution where a key is hot. Documents are kept in buckets by row, so their texts are not shuffled. Words, seeds and windows
 are compared by 64-bit hashes (about n^2 / 2^65 expected collisions of n seeds).
 
 Null texts have no words. Places of a null doc_id come first. Rows that repeat a doc_id are places of one document: of equal rows none
@@ -105,7 +105,7 @@ def factored(pos: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, doc: int
 
 
 def parse(hashed: Hashed, k: int, doc: int, known: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray):
-    """Spans of document k, and the windows to be checked: their hashes and places. known: sorted hashes of its repeated seeds."""
+    """Spans of document k, and the windows to be checked, each once: hashes and first places. known: sorted hashes of its repeated seeds."""
     own = hashed.part(k)
     n = own.stop - own.start
     seeds = hashed.seeds[own.start:own.stop - SEED + 1]
@@ -122,7 +122,9 @@ def parse(hashed: Hashed, k: int, doc: int, known: np.ndarray, ref_doc: np.ndarr
     repeated[pos] = seeds[pos]
     best = hashed.best[own.start:own.stop - WINDOW + 1]
     places = np.flatnonzero((sliding(repeated, AMONG, np.minimum) == best) & ~inside)
-    return first, after, gram_hashes(hashed.words[own], WINDOW)[places], places
+    windows, at = np.unique(gram_hashes(hashed.words[own], WINDOW)[places], return_index=True)
+    again = np.delete(places, at)  # of windows that this document has several times all but the first are copies
+    return np.concatenate((first, again)), np.concatenate((after, again + WINDOW)), windows, places[at]
 
 
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -152,7 +154,7 @@ def seeds(rows: DataFrame) -> DataFrame:
 def index(rows: DataFrame) -> DataFrame:
     """The reference: seeds that occur twice or more, and their first place."""
     grouped = seeds(rows).groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.sum("n").alias("n"))
-    return grouped.filter("n > 1").select("h", "first")
+    return keep(grouped.filter("n > 1").select("h", "first"), "reference")  # as a table, so that adaptive execution can split the join
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -186,6 +188,7 @@ def boundary_windows(marks: DataFrame) -> DataFrame:
         "row", "doc", F.col("x.windows").alias("h"), F.col("x.places").alias("pos"))
     place = F.struct("doc", "pos")
     first = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
+    first = keep(first, "windows")
     return each.join(first, "h").filter(place > F.col("first")).groupBy("row").agg(F.collect_list("pos").alias("later"))
 
 
