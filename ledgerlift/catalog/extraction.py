@@ -29,6 +29,12 @@ query("right_peel_summary", "X1 X19 X26 X27 C5 C7 E1", f"WITH {TOTALS} SELECT {_
       "place AS store_location, 'CUMULATIVE SUMMARY' AS description, CAST(total AS DOUBLE) AS amount FROM totals")(
     _rows(render.summary_report, R.summary_items, "SUMMARY", "doc_id", "area", "store_name", "store_location", "description", "amount"))
 
+query("flushed_summary", "C5 X19 E1", f"""WITH {TOTALS} SELECT {_DOC},
+  code || ' GOODS OF THE FIRST CLASS AND SERVICES FOR EVERY HOUSE SINCE THE LAST FIVE AND TWENTY YEARS MEDICAL STORE' AS store_name,
+  place || ' AND NEW' AS store_location, 0.0::DOUBLE AS amount FROM totals
+UNION ALL SELECT {_DOC}, {_STORE}, place, CAST(total AS DOUBLE) FROM totals""")(
+    _rows(render.wrapped_report, R.summary_items, "SUMMARY", "doc_id", "store_name", "store_location", "amount"))
+
 _TOTAL = f"WITH {TOTALS} SELECT {_DOC}, {_STORE}, place AS store_location, CAST(total AS DOUBLE) AS amount FROM totals"
 _SHOWN = ("doc_id", "store_name", "store_location", "amount")
 query("quarterly_totals", "X20 X1", _TOTAL)(_rows(render.quarterly_report, R.summary_items, "QUARTERLY_SUMMARY", *_SHOWN))

@@ -219,10 +219,20 @@ def vendor_detection(spark, d):
 @query("header_facts", "T15 T16 T17 T18 T4", """SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, translate(s_name, '0123456789', 'ABCDEFGHIJ') || ' TRADERS' AS agency_name,
   '29ABCDE1234F1Z5' AS gstin, '01-01-1995' AS from_date, '31-12-2001' AS to_date, 'BUSY ACCOUNTS' AS address FROM supplier""")
 def header_facts(spark, d):
-    facts = H.header_facts(H.header_view(render.delimited_statement(spark, d)))
+    facts = H.header_facts(render.delimited_statement(spark, d))
     return facts.select("doc_id", "agency_name", "gstin", "from_date", "to_date", "address")
 
 
+@query("long_header_facts", "T15 T16 T17 T18 X32", """SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, translate(s_name, '0123456789', 'ABCDEFGHIJ') || ' TRADERS' AS agency_name,
+  '29ABCDE' || s_suppkey || 'Z5' AS gstin, 'KA-' || s_suppkey AS tin, '080' || (1000000 + s_suppkey) AS phone, 'desk' || s_suppkey || '@example.com' AS email,
+  'LUPIN ' || translate(s_name, '0123456789', 'ABCDEFGHIJ') AS company, 'RAVI ' || translate(s_name, '0123456789', 'ABCDEFGHIJ') AS customer,
+  'MOHAN STORES' AS party, 'LAST ' || translate(s_name, '#0123456789', ' ABCDEFGHIJ') AS last_party, '01-04-1995' AS from_date, '31-03-1996' AS to_date,
+  (SELECT string_agg('LANE ' || translate(k::VARCHAR, '0123456789', 'ABCDEFGHIJ'), ', ' ORDER BY k) FROM range(40) t(k)) || ', TIN NO : KA-' || s_suppkey AS address FROM supplier""")
+def long_header_facts(spark, d):
+    facts = H.header_facts(render.long_header_statement(spark, d))
+    return facts.select("doc_id", "agency_name", "gstin", "tin", "phone", "email", "company", "customer", "party", "last_party", "from_date", "to_date", "address")
+
+
 @query("header_views", "T3 T4", """SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, 'SHARMATRADERS' AS first_line,
   contains('x', 'x') AS has_columns FROM nation""")
 def header_views(spark, d):

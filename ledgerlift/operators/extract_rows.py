@@ -8,7 +8,7 @@ is handled by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlift import lexicon as X
@@ -19,7 +19,7 @@ from ledgerlift.functions.rows import (
     join_words, keep_last, largest, nth, overflow_words, peel, period_total, positional_item,
 )
 from ledgerlift.functions.text import clean_line, fix_store_spelling
-from ledgerlift.operators.headers import compact_keep, header_facts, header_view
+from ledgerlift.operators.headers import compact_keep, header_facts
 from ledgerlift.operators.ordered import attach, scan
 from ledgerlift.schemas import ITEM_FIELDS
 
@@ -28,7 +28,10 @@ AMOUNT_FIRST_TYPES = [*SUMMARY_TYPES, "UNIVERSAL_TWO_COLUMN", "PARTY_SALES_BOOK"
 PAGE_RESET_TYPES = ["INVOICE_SINGLE_PARTY", "SALE_REGISTER_ITEMIZED", "PARTYWISE_SALE_REGISTER", "CUSTOMER_PRODUCT_SALES"]
 HEADING_TYPES = ["SALE_REGISTER_ITEMIZED", "INVOICE_SINGLE_PARTY", "PARTY_WISE", "UNIVERSAL_TWO_COLUMN"]
 CUMULATIVE = "CUMULATIVE SUMMARY"
-FLUSH_CHARS = 80
+FLUSH_CHARS = 80       # waiting text beyond that is a row of its own in summary and two-column layouts
+CHUNK_CHARS = 65_536   # characters of waiting text that are folded at once
+SHORT = 3              # lines of so many characters never flush
+HELD = "\u0001"        # clean lines have no control characters
 
 
 def as_items(df: DataFrame, report_type: str) -> DataFrame:
@@ -39,9 +42,9 @@ def as_items(df: DataFrame, report_type: str) -> DataFrame:
 
 
 def doc_facts(lines: DataFrame) -> DataFrame:
-    """One row per document: the facts printed in its first lines."""
-    return header_facts(header_view(lines)).select(
-        "doc_id", "agency_name", "address", "gstin", "phone", "email", "company", "customer", "party", "from_date",
+    """One row per document: the facts printed above its table."""
+    return header_facts(lines).select(
+        "doc_id", "agency_name", "address", "gstin", "phone", "email", "company", "customer", "party", "last_party", "from_date",
         "to_date")
 
 
@@ -133,38 +136,102 @@ def heading_text(report_type: str) -> Column:
     return F.nullif(strip(chain), F.lit(""))
 
 
-def islands(df: DataFrame, report_type: str, role: Column, fills: dict | None = None, flush: int | None = None) -> DataFrame:
+ROW = ["t", "raw", "toks", "nums", "words", "inline", "n", "dated", "class", "trade", "company"]
+
+
+def islands(df: DataFrame, report_type: str, role: Column, fills: dict | None = None) -> DataFrame:
     """Join each run of 'text' lines to the 'close' line that ends it; one output row per close line.
 
     Roles: close (emits), text (waits), stop (drops what waits). Text that no close
-    line ends is filtered out before anything is gathered. With `flush`, waiting
-    text longer than that many characters comes out as rows of its own.
+    line ends is filtered out before anything is gathered. The text is the row's own
+    value, so it is as long as the report makes it; layouts with a limit use `flushed_islands`.
     """
     marked = df.withColumn("role", role)
     ends = F.when(F.col("role").isin("close", "stop"), F.struct(F.col("line_no").alias("at"), F.col("role").alias("how")))
     ready = scan(marked, ["doc_id"], next_fill={"end": ends}, fill=fills or {},
                  fill_before={"open": table_marks(report_type)}, tie="raw")
     ready = ready.where(F.coalesce("open", F.lit(False)) & (F.col("end.how") == "close") & F.col("role").isin("close", "text"))
-    extra = list(fills or {})
-    row = F.struct("t", "raw", "toks", "nums", "words", "inline", "n", "dated", "class", "trade", "company", *extra)
+    row = F.struct(*ROW, *(fills or {}))
     grouped = ready.groupBy("doc_id", F.col("end.at").alias("line_no")).agg(
         F.max(F.when(F.col("role") == "close", row)).alias("row"),
         F.array_sort(F.collect_list(F.when(F.col("role") == "text", F.struct("line_no", "t")))).alias("waiting"))
-    texts = F.transform("waiting", lambda x: x["t"])
-    if flush is None:
-        out = grouped.withColumns({"pending": F.array_join(texts, " "), "flushed": F.array().cast("array<string>")})
-    else:
-        start = F.struct(F.lit("").alias("p"), F.array().cast("array<string>").alias("out"))
+    out = grouped.withColumn("pending", F.array_join(F.transform("waiting", lambda x: x["t"]), " "))
+    return out.select("doc_id", "line_no", "pending", "row.*") \
+        .withColumn("combined", F.trim(F.concat_ws(" ", F.nullif("pending", F.lit("")), "inline")))
 
-        def step(acc, t):
-            full = (F.length(acc["p"]) > flush) & (F.length(t) > 3)
-            return F.struct(F.when(full, t).otherwise(F.ltrim(F.concat_ws(" ", acc["p"], t))).alias("p"),
-                            F.when(full, F.array_append(acc["out"], acc["p"])).otherwise(acc["out"]).alias("out"))
 
-        out = grouped.withColumn("f", F.aggregate(texts, start, step)) \
-            .withColumns({"pending": F.col("f.p"), "flushed": F.col("f.out")}).drop("f")
-    return out.select("doc_id", "line_no", "pending", "flushed", "row.*") \
-        .withColumn("combined", F.trim(F.concat_ws(" ", F.nullif("pending", F.lit("")), "inline")))
+def flushed_islands(df: DataFrame, report_type: str, role: Column, fills: dict | None = None, flush: int = FLUSH_CHARS,
+                    chunk: int = CHUNK_CHARS) -> DataFrame:
+    """As islands, but waiting text of more than `flush` characters comes out as a row of its own (flushed = true) when another
+    line of more than three characters follows, whatever ends the run.
+
+    A run of any length is folded in chunks: lines are cut by a running sum of their characters, so a task holds `chunk` characters
+    and not the run. What waits at a chunk's start depends on the chunks before it, but only by its length up to the limit; a
+    chunk of a longer run gives, for each such length, the length at its end (a map), maps are applied one after the other (one
+    small row per chunk), and each chunk is then folded from its true start. The text itself comes from the end of the chunk before.
+    """
+    extra = list(fills or {})
+    marked = df.withColumn("role", role)
+    ends = F.when(F.col("role").isin("close", "stop"), F.struct(F.col("line_no").alias("at"), F.col("role").alias("how")))
+    # lines of three characters or less never flush and do not count, so every inner chunk has a flush
+    weight = F.when((F.col("role") == "text") & (F.length("t") > SHORT), F.length("t").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    ready = scan(marked, ["doc_id"], next_fill={"end": ends}, fill=fills or {}, sums={"chars": weight},
+                 fill_before={"open": table_marks(report_type)}, tie="raw")
+    ready = ready.where(F.coalesce("open", F.lit(False)) & F.col("role").isin("close", "text"))
+    # a closing line belongs to the last chunk of its run; a run without an end has no number
+    at, number = F.col("end.at").alias("at"), F.floor(F.col("chars") / chunk).alias("chunk")
+    line = F.struct("line_no", "t", *extra)
+    runs = Window.partitionBy("doc_id", "at")
+    chunks = ready.groupBy("doc_id", at, number).agg(
+        F.max(F.when(F.col("role") == "close", F.struct(*ROW, *extra))).alias("row"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "text", line))).alias("lines")) \
+        .withColumn("chunks", F.count("*").over(runs))
+    full = flush + 1
+
+    def longer(p, n):
+        return F.when((p >= full) & (n > SHORT), F.least(n, F.lit(full))).otherwise(F.least(p + F.when(p > 0, 1).otherwise(0) + n, F.lit(full)))
+
+    states = F.transform(F.sequence(F.lit(0), F.lit(full)), lambda s: F.aggregate("lines", s, lambda p, x: longer(p, F.length(x["t"]))))
+    order = chunks.where("chunks > 1").select("doc_id", "at", F.struct("chunk", states.alias("to")).alias("m")) \
+        .groupBy("doc_id", "at").agg(F.array_sort(F.collect_list("m")).alias("maps"))
+    begin = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<chunk:bigint,s:int>>").alias("starts"))
+    starts = order.select("doc_id", "at", F.explode(F.aggregate("maps", begin, lambda acc, m: F.struct(
+        F.get(m["to"], acc["s"]).alias("s"), F.array_append(acc["starts"], F.struct(m["chunk"].alias("chunk"), acc["s"].alias("s"))).alias("starts")))["starts"])
+        .alias("x")).select("doc_id", F.col("at").alias("s_at"), F.col("x.chunk").alias("s_chunk"), F.col("x.s").alias("start"))
+    joined = chunks.join(starts.withColumnRenamed("doc_id", "s_doc"), (F.col("doc_id") == F.col("s_doc")) & F.col("at").eqNullSafe(F.col("s_at"))
+                         & (F.col("chunk") == F.col("s_chunk")), "left")
+    # what waited at the start is held open by as many marks
+    held = F.repeat(F.lit(HELD), F.coalesce("start", F.lit(0)))
+    none = F.lit(None).cast(ready.select(line.alias("l")).schema["l"].dataType)
+
+    def step(acc, x):
+        flushes = (F.length(acc["p"]) > flush) & (F.length(x["t"]) > SHORT)
+        new = flushes | (acc["p"] == "")
+        return F.struct(F.when(new, x["t"]).otherwise(F.concat_ws(" ", acc["p"], x["t"])).alias("p"), x.alias("last"),
+                        F.when(flushes, F.array_append(acc["out"], F.struct(acc["last"].alias("line"), acc["p"].alias("p")))).otherwise(acc["out"]).alias("out"))
+
+    kind = f"array<struct<line:{none_type(ready, line)},p:string>>"
+    folded = joined.withColumn("f", F.aggregate("lines", F.struct(held.alias("p"), none.alias("last"), F.array().cast(kind).alias("out")), step))
+    in_run = runs.orderBy("chunk")
+    before = F.struct(F.lag("f.p").over(in_run).alias("p"), F.lag("f.last").over(in_run).alias("last"))
+    folded = folded.select("doc_id", "at", "row", "f", before.alias("b"))
+    whole = lambda p: F.when(p.startswith(HELD), F.concat(F.col("b.p"), F.ltrim(p, F.lit(HELD)))).otherwise(p)
+    texts = F.transform("f.out", lambda x: F.struct(F.coalesce(x["line"], F.col("b.last")).alias("line"), whole(x["p"]).alias("p"), F.lit(True).alias("flushed")))
+    close = F.when(F.col("row").isNotNull(), F.array(F.struct(none.alias("line"), whole(F.col("f.p")).alias("p"), F.lit(False).alias("flushed"))))
+    each = folded.select("doc_id", "at", "row", F.explode(F.concat(texts, F.coalesce(close, F.array().cast(close_type(none_type(ready, line)))))).alias("x"))
+    got = lambda c, otherwise: F.when(F.col("x.flushed"), otherwise).otherwise(F.col(f"row.{c}")).alias(c)
+    blank = {"t": F.col("x.p"), "raw": F.col("x.p"), "inline": F.lit(""), "n": F.lit(0), "dated": F.lit(False), "class": F.lit("row"), "trade": F.lit(False)}
+    out = each.select("doc_id", F.coalesce("x.line.line_no", "at").alias("line_no"), F.col("x.p").alias("pending"), F.col("x.flushed").alias("flushed"),
+                      *[got(c, blank.get(c, F.lit(None))) for c in ROW], *[got(c, F.col(f"x.line.{c}")) for c in extra])
+    return out.withColumn("combined", F.trim(F.concat_ws(" ", F.nullif("pending", F.lit("")), "inline")))
+
+
+def none_type(df: DataFrame, value: Column) -> str:
+    return df.select(value.alias("v")).schema["v"].dataType.simpleString()
+
+
+def close_type(line: str) -> str:
+    return f"array<struct<line:{line},p:string,flushed:boolean>>"
 
 
 def _modifier_amount() -> Column:
@@ -201,13 +268,15 @@ def _is_modifier() -> Column:
 
 # ------------------------------------------------------------------ summary layouts
 
-def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMARY", flush: int | None = None) -> DataFrame:
-    """One amount per store: last number, period total or largest number, by layout. Small-serial text rows are areas."""
+def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMARY", flush: int = FLUSH_CHARS) -> DataFrame:
+    """One amount per store: last number, period total or largest number, by layout. Small-serial text rows are areas.
+
+    Waiting text of more than `flush` characters is a store without an amount."""
     ann = annotate(lines, facts, report_type)
     heading = F.col("small") & (F.col("class") == "row")
     role = F.when(_is_stop() | heading, "stop").when(_is_modifier() | (F.col("n") >= 1), "close").otherwise("text")
     area = F.when(heading & (strip("inline") != ""), strip("inline"))
-    rows = islands(ann, report_type, role, {"area": area}, flush)
+    rows = flushed_islands(ann, report_type, role, {"area": area}, flush)
     name = strip(F.regexp_replace(strip("combined"), r"[\d.,\-\s]+$", ""))
     if report_type == "MFR_CUSTOMER_SUMMARY":
         amount = largest("nums")
@@ -217,13 +286,9 @@ def summary_items(lines: DataFrame, facts: DataFrame, report_type: str = "SUMMAR
         amount = period_total("nums") if report_type == "QUARTERLY_SUMMARY" else clean_number(nth("nums", -1))
         name = strip(F.regexp_replace(name, r"^\d+[\.\-:]?\s*", ""))
         name = F.regexp_replace(name, r":(?=[A-Za-z])", " - ")
-    rows = rows.withColumns({"store_text": fix_store_spelling(name), "amount0": amount})
-    if flush is not None:
-        extra = rows.select("doc_id", "line_no", "area", F.explode("flushed").alias("store_text")) \
-            .withColumns({"amount0": money(F.lit(0)), "class": F.lit("row"), "combined": F.lit(""),
-                          "nums": F.array().cast("array<string>")})
-        rows = rows.select(*extra.columns).unionByName(extra)
-    rows = split_store(rows, "store_text", keep=lambda s: (F.col("class") == "modifier") | s["store_name"].rlike("[A-Za-z]"))
+    rows = rows.withColumns({"store_text": fix_store_spelling(F.when(F.col("flushed"), strip("pending")).otherwise(name)),
+                             "amount0": F.when(F.col("flushed"), money(F.lit(0))).otherwise(amount)})
+    rows = split_store(rows, "store_text", keep=lambda s: (F.col("class") == "modifier") | F.col("flushed") | s["store_name"].rlike("[A-Za-z]"))
     return as_items(_with_modifiers(rows, _zero(description=F.lit(CUMULATIVE), amount=F.col("amount0"))), report_type)
 
 
@@ -270,30 +335,33 @@ def sales_book_entries(lines: DataFrame, facts: DataFrame, report_type: str = "P
 
 
 def two_column_items(lines: DataFrame, facts: DataFrame, report_type: str = "UNIVERSAL_TWO_COLUMN",
-                     flush: int | None = None) -> DataFrame:
-    """Description and last number; the store is the heading, else the customer of the header."""
+                     flush: int = FLUSH_CHARS) -> DataFrame:
+    """Description and last number; the store is the heading, else the customer of the header. Waiting text of more than `flush`
+    characters is an item without an amount."""
     ann = annotate(lines, facts, report_type)
     heading = F.when(F.col("class") == "row", heading_text(report_type))
     role = F.when(_is_stop() | heading.isNotNull(), "stop").when(F.col("n") >= 1, "close").otherwise("text")
-    rows = islands(ann.withColumn("heading", heading), report_type, role, {"store_text": "heading"}, flush)
-    rows = split_store(rows.withColumn("d", _plain(F.col("combined"))), "d", "item_text", "item_place", keep=lambda s: (
-        (F.col("class") == "modifier") | (s["item_text"].rlike("[A-Za-z]") & (F.length(s["item_text"]) >= 3))))
+    rows = flushed_islands(ann.withColumn("heading", heading), report_type, role, {"store_text": "heading"}, flush)
+    plain = F.when(F.col("flushed"), strip("pending")).otherwise(_plain(F.col("combined")))
+    rows = split_store(rows.withColumn("d", plain), "d", "item_text", "item_place", keep=lambda s: (
+        (F.col("class") == "modifier") | F.col("flushed") | (s["item_text"].rlike("[A-Za-z]") & (F.length(s["item_text"]) >= 3))))
     rows = attach(rows, facts.select("doc_id", "customer"), ["doc_id"], "line_no")
     rows = split_store(rows.withColumn("store_text", F.coalesce(
         "store_text", F.nullif("customer", F.lit("")), F.lit("UNKNOWN CUSTOMER"))), "store_text")
-    amount = clean_number(nth("nums", -1))
+    amount = F.when(F.col("flushed"), money(F.lit(0))).otherwise(clean_number(nth("nums", -1)))
     return as_items(_with_modifiers(rows, _zero(description=F.col("item_text"), amount=amount)), report_type)
 
 
 # ------------------------------------------------------------------ registers and invoices
 
 def _pre_table_store(facts: DataFrame) -> DataFrame:
-    """Store fallback per document: customer, the party behind M/S, then the agency when it is no agency by name."""
+    """Store fallback per document: the party behind M/S in the header, customer, the text's last M/S, then the agency when it is no
+    agency by name."""
     agency = strip(F.regexp_replace(F.regexp_replace("agency_name", r"[^A-Za-z0-9&\-\s]", " "), r"\s{2,}", " "))
     usable = ~has_any(F.upper("agency_name"), ["AGENCY", "DISTRIBUTOR"]) & (F.length(agency) > 3)
     return facts.select("doc_id", F.coalesce(
         F.when(F.length("party") > 2, F.col("party")), F.nullif("customer", F.lit("")),
-        F.when(usable, agency), F.lit("UNKNOWN STORE")).alias("fallback"))
+        F.col("last_party"), F.when(usable, agency), F.lit("UNKNOWN STORE")).alias("fallback"))
 
 
 def _stores_from_headings(rows: DataFrame, facts: DataFrame) -> DataFrame:

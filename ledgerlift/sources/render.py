@@ -119,6 +119,24 @@ def delimited_statement(spark: SparkSession, folder: str) -> DataFrame:
     return union(head, body, sub, totals_line(li, doc, value, "GRAND TOTAL", "\t"))
 
 
+def long_header_statement(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement per supplier whose table opens at line 60 or below, its facts from line 45 on, and other such facts inside the table."""
+    s = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    name, key = lettered(F.col("s_name")), F.col("s_suppkey").cast("string")
+    lanes = [F.concat(F.lit("LANE "), lettered(F.lit(str(k)))) for k in [*range(40), 3, 7, 3]]
+    facts = [F.concat(F.lit("GSTIN : 29ABCDE"), key, F.lit("Z5")), F.concat(F.lit("TIN NO : KA-"), key),
+             F.concat(F.lit("Phone : 080"), (F.col("s_suppkey") + 1000000).cast("string")),
+             F.concat(F.lit("E-Mail : desk"), key, F.lit("@example.com")), F.lit("M/S MOHAN STORES"), F.lit("Page 1"),
+             F.concat(F.lit("Company : LUPIN "), name), F.lit("PERIOD 31-03-1996 TO 01-04-1995"), F.lit("LANE BELOW THE PERIOD")]
+    inside = [F.lit("GSTIN : WRONG"), F.lit("Phone : 999"), F.lit("Company : WRONG"), F.lit("05-05-2005 row"),
+              F.concat(F.lit("CUSTOMER : RAVI "), name, F.lit(", PLACE")), F.concat(F.lit("M/S LAST "), name), F.lit("M/S NORTH AGENCY")]
+    head = header_of(s, F.col("s_suppkey"), F.concat(name, F.lit(" TRADERS")), *lanes, *facts, *[F.lit("=====")] * 8, "PARTY NAME\tPRODUCT\tQTY\tAMOUNT")
+    li = table(spark, folder, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    body = lines_of(li, F.col("s_suppkey"), F.lit(BODY) + F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.concat_ws(
+        "\t", F.lit("SHOP"), F.col("l_partkey").cast("string"), whole_text("l_quantity"), amount_text("l_extendedprice")))
+    return union(head, lines_of(s, F.col("s_suppkey"), F.lit(80), *inside), body)
+
+
 # Product words the flat layout is recognised by.
 FLAT_PRODUCTS = ["HEPP FORT SYP", "ONECLAV 625 TAB", "DEFENAC GEL", "REVEAL KIT", "MEGARICH CAP", "CIPROVA 500"]
 
@@ -171,6 +189,18 @@ def summary_report(spark: SparkSession, folder: str) -> DataFrame:
     return union(head, areas, body, totals_line(t, doc, F.col("total")))
 
 
+def wrapped_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Store totals per nation whose names run over long lines: text of more than 80 characters waits before each total, and at the end."""
+    t = order_totals(spark, folder)
+    doc, pos = F.col("c_nationkey"), F.col("c_custkey") * 8 + BODY
+    first = F.concat(F.col("code"), F.lit(" GOODS OF THE FIRST CLASS AND SERVICES FOR EVERY HOUSE"))
+    body = lines_of(t, doc, pos, first, F.concat(F.lit("SINCE THE LAST FIVE AND TWENTY YEARS MEDICAL STORE, "), F.col("place")), F.lit("AND"),
+                    F.lit("NEW"), F.concat(F.col("code"), F.lit(" MEDICAL")), F.concat_ws(" ", F.lit("STORE,"), "place", amount_text("total")))
+    head = header_of(table(spark, folder, "nation"), F.col("n_nationkey"), "SHARMA TRADERS", "STATION ROAD",
+                     "01-01-1995 TO 31-12-2001", "STORENAME STORE LOCATION SALES RETURN AMOUNT")
+    return union(head, body, totals_line(t, doc, F.col("total")))
+
+
 def quarterly_report(spark: SparkSession, folder: str) -> DataFrame:
     """Three period amounts and their total per store; odd nations print the total first."""
     o = table(spark, folder, "orders")
