@@ -19,7 +19,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from ledgerlift.llm.transducers import compiled, passes, split
 
 SHARD_IDS = 1_000_000
 KEPT_PIECES = 1_000_000  # whose ids a worker remembers
+JOINED_PIECES = 2_000    # new pieces that are encoded as one text
 BLOCK = 4096  # bits per entry of the rank directory
 SHARD = ("part int, serial int, n_ids long, bits int, docs array<bigint>, lens binary, zeros array<bigint>, ranks binary, "
          "planes array<binary>")
@@ -171,16 +173,32 @@ class Encoder:
 
     def _add(self) -> None:
         """Encode the pieces that the index met for the first time."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, k = int(sizes.sum()), len(self.index) - len(found)
+        # a space and letters are one piece wherever they stand, so many are encoded as one text; its words are the pieces again
+        plain = [u[:1] == " " and u[1:].isalpha() for u in self.index.new]
+        whole = list(compress(self.index.new, plain))
+        found, sizes = [], []
+        for at in range(0, len(whole), JOINED_PIECES):
+            part = whole[at:at + JOINED_PIECES]
+            both = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            counts = np.bincount(both.word_ids)
+            if len(counts) != len(part):  # letters by another version of Unicode
+                alone = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                found.append(list(chain.from_iterable(alone)))
+                sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+            else:
+                found.append(both.ids)
+                sizes.append(counts)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(list(compress(self.index.new, map(not_, plain))), add_special_tokens=False)]
+        order = np.argsort(~np.array(plain), kind="stable")  # the plain ones, then the others
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, others), np.int64, len(others))])
+        n, k = int(sizes.sum()), len(self.index) - len(sizes)
         while len(self.index) > len(self.begin):
             self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
         while self.used + n > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-        self.store[self.used:self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
-        self.begin[k:k + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.length[k:k + len(found)] = sizes
+        self.store[self.used:self.used + n] = np.fromiter(chain.from_iterable([*found, *others]), np.uint32, n)
+        self.begin[k + order] = self.used + np.cumsum(sizes) - sizes
+        self.length[k + order] = sizes
         self.used += n
         self.index.new = []
 
