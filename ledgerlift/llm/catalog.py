@@ -26,18 +26,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.6, "long": 0.3}}
-SHARE = 0.5  # of all words, to be sampled
+SHARE = 0.5  # of all tokens, to be sampled
 
 
 @query("op1_mixing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.sampled(docs, TARGETS, SHARE, columns=["doc_id"])
+    return mixing.sampled(docs, TARGETS, SHARE, TOKENIZER, columns=["doc_id"])
 
 
 END_ID = 2  # appended to each document
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query("op2_token_counts")

@@ -1,12 +1,14 @@
 import bisect
 import collections
+import random
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from ledgerlift.llm import catalog, lm_score, mixing, quality, toxicity, url_rules
+from ledgerlift.llm import catalog, lm_score, mixing, quality, toxicity, units, url_rules
 
 from .helpers import DOC, ODD, base, raked
 
@@ -108,20 +110,48 @@ def test_raking(spark):
     targets = [{s: total * (0.4 if s == "s0" else 0.6 * w ** 0.5 / roots) for s, w in sums[0].items()},
                {k: v * total for k, v in parts["lang"].items()}, {k: v * total for k, v in parts["topic"].items()}]
     expected = raked(cells, targets, 5)
-    for r in mixing.raked(df, parts, 5).collect():
+    for r in mixing.raked(df, parts, 5, tolerance=0.0).collect():
         assert abs(r.raked - expected[r.source, r.lang, r.topic]) < 1e-6
+    done = mixing.raked(df, parts, 50, tolerance=1e-3).collect()
+    assert {r.margin_error for r in done} == {max(r.margin_error for r in done)} and done[0].margin_error <= 1e-3
+    have = collections.Counter()
+    for r in done:
+        have[r.lang] += r.raked
+    assert all(abs(have[k] - v) < 2e-3 * v for k, v in targets[1].items())
+
+
+def test_plans_do_not_grow_with_rounds(spark):
+    df = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 7), ("b", "x", "u", 9)], "source string, lang string, topic string, w long")
+    nodes = [mixing.raked(df, catalog.TARGETS, n, tolerance=0.0)._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (1, 3)]
+    assert nodes[0] == nodes[1]
 
 
 def test_sampling(spark, documents):
-    rows = mixing.sampled(documents, catalog.TARGETS, catalog.SHARE, ["doc_id", "lang"]).collect()
-    words = sum(r.n_words for r in rows)
-    assert abs(sum(r.probability * r.n_words for r in rows) - catalog.SHARE * words) < 0.01 * words
+    rows = mixing.sampled(documents, catalog.TARGETS, catalog.SHARE, catalog.TOKENIZER, ["doc_id", "lang", "text"]).collect()
+    library = Tokenizer.from_file(catalog.TOKENIZER)
+    assert [r.n_tokens for r in rows] == [len(e.ids) for e in library.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
+    tokens = sum(r.n_tokens for r in rows)
+    assert abs(sum(r.probability * r.n_tokens for r in rows) - catalog.SHARE * tokens) < 0.01 * tokens
     for lang, part in catalog.TARGETS["lang"].items():
-        assert abs(sum((r.factor or 0) * r.n_words for r in rows if r.lang == lang) - part * words) < 0.01 * words
+        assert abs(sum((r.factor or 0) * r.n_tokens for r in rows if r.lang == lang) - part * tokens) < 0.001 * tokens
     assert all(r.taken == (r.uniform < r.probability) for r in rows) and 0 < sum(r.taken for r in rows) < len(rows)
-    odd = mixing.sampled(spark.createDataFrame(ODD, DOC).selectExpr("*", "'x' AS topic", "1 AS w"), catalog.TARGETS, 0.5).collect()
-    assert len(odd) == 5 and not any(r.taken for r in odd if not r.n_words) and {r.w for r in odd} == {1}
-    assert mixing.sampled(spark.createDataFrame([], DOC), catalog.TARGETS, 0.5).collect() == []
+    odd = mixing.sampled(spark.createDataFrame(ODD, DOC).selectExpr("*", "'x' AS topic", "1 AS w"), catalog.TARGETS, 0.5, catalog.TOKENIZER).collect()
+    assert len(odd) == 5 and not any(r.taken for r in odd if not r.n_tokens) and {r.w for r in odd} == {1}
+    assert mixing.sampled(spark.createDataFrame([], DOC), catalog.TARGETS, 0.5, catalog.TOKENIZER).collect() == []
+    unnamed = spark.createDataFrame([(None, f"text number {k}", "en", "s") for k in range(200)], DOC)
+    assert 40 < sum(r.taken for r in mixing.sampled(unnamed, {}, 0.5, catalog.TOKENIZER).collect()) < 160
+
+
+def test_units_have_the_tokens_of_whole_texts(monkeypatch):
+    rng = random.Random(8)
+    signs = list("abthe'srd   \n\t\u00a0é中😀½.,<|>0\0")
+    texts = [None, "", " ", "  a", "a ", "a  b", "a\u3000 b", "x <|endoftext|> y", "a<|endoftext|>", "a\0 b", "\x1c a"] * 2
+    texts += ["".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(300)] + ["some words of a text"] * 3
+    library = Tokenizer.from_file(catalog.TOKENIZER)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(units, "KEPT_UNITS", 300)
+    counts = units.UnitCounts(catalog.TOKENIZER)
+    assert [n for at in range(0, len(texts), 50) for n in counts.count(texts[at:at + 50]).tolist()] == want
 
 
 def test_non_negative_risk():
