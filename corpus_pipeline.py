@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sampled(docs, catalog.TARGETS, catalog.SHARE).filter("taken").select(docs.columns)
+    return mixing.sampled(docs, catalog.TARGETS, catalog.SHARE, catalog.TOKENIZER).filter("taken").select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
