@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from ledgerlift.llm.common import on_workers
 
 KEPT_UNITS = 1_000_000  # whose counts a worker remembers
+JOINED = 5_000          # new units that are encoded as one text
 SLICE = 500             # texts that are counted at once
 
 
@@ -30,17 +31,33 @@ class UnitCounts:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.whole = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        # byte-level entries have a character per byte
+        self.lens = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
         self.seen: dict[str, int] = {}  # tokens of a unit; -1 if a text that holds it is to be encoded whole
 
     def _learn(self, units: set[str]) -> None:
         if len(self.seen) + len(units) > KEPT_UNITS:
             self.seen.clear()
         new = [u for u in units if u not in self.seen]
-        for at in range(0, len(new), 2000):
-            part = new[at:at + 2000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                word = u[1:] if u[0] == " " else u
-                self.seen[u] = -1 if not word or word[0].isspace() or word[-1].isspace() else len(e.ids)
+        words = [u[1:] if u[0] == " " else u for u in new]
+        loose = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        self.seen.update((u, -1) for u in compress(new, loose))
+        inner = [u for u, no in zip(new, loose) if not no and u[0] == " "]
+        self._alone([u for u, no in zip(new, loose) if not no and u[0] != " "])
+        for at in range(0, len(inner), JOINED):  # one after the other they are a text that is cut at the same spaces
+            part = inner[at:at + JOINED]
+            whole = "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(self.lens[ids])
+            mine = np.cumsum(np.fromiter((len(u.encode()) for u in part), np.int64, len(part)))
+            last = np.searchsorted(ends, mine)
+            if ends[-1] == mine[-1] and (ends[last] == mine).all():
+                self.seen.update(zip(part, np.diff(last, prepend=-1).tolist()))
+            else:
+                self._alone(part)
+
+    def _alone(self, units: list[str]) -> None:
+        self.seen.update((u, len(e.ids)) for u, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)))
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         units = [[] if not t or any(w in t for w in self.whole) else t.replace(" ", "\0 ").removeprefix("\0").split("\0") for t in texts]
