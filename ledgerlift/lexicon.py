@@ -228,9 +228,6 @@ TAX_WORDS = ["cgst", "sgst", "igst", "c.g.s.t", "s.g.s.t", "i.g.s.t"]
 INVOICE_HINT_WORDS = ["cgst", "sgst", "igst", "c.g.s.t"]
 DISCOUNT_WORDS = ["discount", "disc.", "less", "disc "]
 REGISTER_STOP_WORDS = ["GRAND TOTAL", "TOTAL :", "TOTAL", "NET TOTAL", "PAGE TOTAL", "*** END", "SUB TOTAL", "PAGE SUB"]
-BOOK_STOP_WORDS = [
-    "date", "bill no", "party name", "total :", "grand total", "end of report", "taxable", "sur. tax", "r.off",
-]
 PAGE_ARTIFACT = r"(?i)^(?:-?\d+\s*-?\s*$|page\s+\d+|continued\.\.\.?|contd\.?)"
 
 DATE = r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b"
