@@ -23,7 +23,7 @@ def test_stages_take_effect(spark, data, documents):
             items = spark.read.parquet(f"{data}/benchmark.parquet")
             assert ids == {r.doc_id for r in before.collect()} - {r.doc.doc_id for r in templates.leaks(before, items).collect()}
         elif name == "mixing":
-            assert ids == {r.doc_id for r in mixing.sampled(before, catalog.TARGETS, catalog.SHARE, ["doc_id"]).collect() if r.taken}
+            assert ids == {r.doc_id for r in mixing.sampled(before, catalog.TARGETS, catalog.SHARE, catalog.TOKENIZER, ["doc_id"]).collect() if r.taken}
         else:
             assert ids == {r.doc_id for r in before.collect()}
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
@@ -34,4 +34,4 @@ def test_stages_take_effect(spark, data, documents):
 def test_entry_registers_all():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
