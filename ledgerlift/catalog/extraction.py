@@ -186,6 +186,14 @@ def tax_invoice_items(spark, d):
                  "hsn", "qty", "rate", "amount", "tax_amount")
 
 
+@query("tax_rows_across_pages", "X31 C6", f"""WITH {SALES} SELECT CAST(o_custkey AS VARCHAR) AS doc_id, p_name AS brand, 'CAP' AS dosage,
+  '10TAB' AS packing, 'K' || l_partkey AS batch, '12/26' AS expiry, '30049099' AS hsn, {_QTY}, {_RATE}, {_AMOUNT},
+  CAST(2 * CAST(l_tax AS DECIMAL(18,2)) AS DOUBLE) AS tax_amount FROM sales""")
+def tax_rows_across_pages(spark, d):
+    return plain(T.tax_invoice_items(render.broken_tax_invoices(spark, d)), "doc_id", "brand", "dosage", "packing", "batch", "expiry", "hsn",
+                 "qty", "rate", "amount", "tax_amount")
+
+
 @query("tax_invoice_rows_early", "X31", f"""WITH {SALES} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, '30049099' AS hsn, {_AMOUNT} FROM sales""")
 def tax_invoice_rows_early(spark, d):
     return plain(T.tax_invoice_rows_early(render.tax_invoices(spark, d)), "doc_id", "hsn", "amount")

@@ -110,20 +110,21 @@ def scan(df: DataFrame, keys: list[str], pos: str = "line_no", *, fill: dict | N
     return joined.select(*kept, *[e.alias(o) for o, e in final.items()])
 
 
-def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *steps, block: int = BLOCK) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *steps, block: int = BLOCK, numbered: bool = False) -> DataFrame:
     """Columns that look at most `reach` rows ahead or behind, whatever gaps the positions have.
 
     Rows are numbered first. Rows near a block edge are copied into the neighbouring block, so every block sees all it needs; the
-    copies leave at the end. Each step maps a window over (group, block) to new columns.
+    copies leave at the end. Each step maps a window over (group, block) to new columns. numbered: `pos` counts the rows already.
     """
-    numbered = number_rows(df, keys, pos, "_n")
-    own = F.floor(F.col("_n") / block).cast("bigint")
-    near = [F.floor((F.col("_n") + d) / block).cast("bigint") for d in (-reach, 0, reach)]
-    out = numbered.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(*near))))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_n")
+    at = pos if numbered else "_n"
+    rows = df if numbered else number_rows(df, keys, pos, at)
+    own = F.floor(F.col(at) / block).cast("bigint")
+    near = [F.floor((F.col(at) + d) / block).cast("bigint") for d in (-reach, 0, reach)]
+    out = rows.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(*near))))
+    w = Window.partitionBy(*keys, "_blk").orderBy(at)
     for step in steps:
         out = out.withColumns(step(w))
-    return out.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own", "_n")
+    return out.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own", *([] if numbered else ["_n"]))
 
 
 def number_rows(df: DataFrame, keys: list[str], pos: str, out: str = "line_no", tie: str | None = None) -> DataFrame:

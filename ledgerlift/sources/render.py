@@ -363,6 +363,18 @@ def tax_invoices(spark: SparkSession, folder: str) -> DataFrame:
     return union(head, body, lines_of(o, F.col("o_orderkey"), F.lit(FOOT), F.lit("GRAND TOTAL 1.00")))
 
 
+def broken_tax_invoices(spark: SparkSession, folder: str) -> DataFrame:
+    """One tax invoice per customer. Every row is broken behind its tax code; its numbers stand on the page after."""
+    title = "Sn. Qty. Pack Product Batch Exp. HSN MRP Rate Disc SGST CGST Amount"
+    front = F.concat_ws(" ", F.concat(F.col("seq").cast("string"), F.lit(".")), "qty", F.lit("10TAB"), "p_name", F.lit("CAP"),
+                        F.concat(F.lit("K"), F.col("l_partkey").cast("string")), F.lit("12/26"), F.lit("30049099"))
+    back = F.concat_ws(" ", F.lit("12.50"), "rate", amount_text("l_discount"), amount_text("l_tax"), amount_text("l_tax"), "amount")
+    rows = sales(spark, folder).select(F.col("o_custkey").cast("string").alias("doc_id"), "pos", F.posexplode(
+        F.array(F.lit(title), front, F.lit(title), back)).alias("at", "text"))
+    line = F.col("pos") * 4 + F.col("at")
+    return rows.select("doc_id", F.floor(line / 2).cast("bigint").alias("page_no"), line.alias("line_no"), "text")
+
+
 def single_invoices(spark: SparkSession, folder: str) -> DataFrame:
     """One invoice per order: item rows, a discount line, then a tax block that closes the table."""
     d = sales(spark, folder)
