@@ -9,8 +9,9 @@ pair is a leak if they cover half of the item and at least `least` of its words
 windows (equal values of the item have equal values in the document and the other way round), or if windows with the item's own
 values alone cover as much. So a question with other numbers or names is caught, and chance hits of placeholders are not.
 
-The benchmark's windows are broadcast only when their counted number is below BROADCAST_WINDOWS; beyond it the join is shuffled. Only
-DataFrame functions.
+A first pass joins hashes alone; windows with their words and slots are made of the documents that it finds. The benchmark's windows, and
+the keys of these documents, are broadcast only when their counted number is at most BROADCAST_WINDOWS; beyond it the join is shuffled.
+Only DataFrame functions.
 
 Null or empty texts have no windows. Items that differ in nothing but their id count once, under the least id; items shorter than `window`
 words cannot be found. Windows that are mostly placeholders, openers left aside, do not count. A document is doc_id and text, so repeated rows give one
@@ -43,13 +44,24 @@ def _doc() -> Column:
     return F.struct("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
 
 
-def _template(rows: DataFrame, window: int, name: str, value: Column, opener: str | None = OPENER) -> DataFrame:
-    """For each window of each row: the value under its name, first word i, number of words and hash, whether runs are one placeholder
-    in it, and the row's arrays core and kinds. Openers are of kind `opener`; without one they stay words."""
-    # arrays are zipped, never indexed from inside a lambda: an indexed one could be made again for every element
-    bare = lambda w: F.btrim(w, F.lit(OUTER))
-    raw = rows.select(value.alias(name), F.filter(words(F.col("text")), lambda w: bare(w) != "").alias("raw"))
-    core = raw.withColumn("core", F.transform("raw", bare)).withColumn("before", F.slice(F.concat(F.array(F.lit(".")), "raw"), F.lit(1), F.size("raw")))
+def _doubled(rows: DataFrame, tokens: str, window: int) -> DataFrame:
+    """rows with `wide`: hashes of the windows of an array, by place, made of pairs, pairs of pairs and so on, so that a window of eight
+    takes three steps. A width that is no power of two overlaps its last parts. The last window - 1 entries are no whole windows."""
+    rows, width = rows.withColumn("wide", F.col(tokens)), 1
+    while width < window:
+        far = min(width, window - width)
+        # a column of its own per step: read twice in the next one, it is made once
+        rows = rows.withColumn("wide", F.zip_with("wide", F.slice("wide", F.lit(far + 1), F.size("wide")), lambda x, y: F.xxhash64(x, y)))
+        width += far
+    return rows
+
+
+def _tokens(rows: DataFrame, window: int, name: str, value: Column, opener: str | None = OPENER) -> DataFrame:
+    """For each row: the value under its name, its arrays core and kinds, heads (words that do not go on with a run of names, and the end)
+    and the hashes of its windows: plain ones by first word, joint ones (a run is one token) by first head."""
+    both = rows.select(value.alias(name), words(F.col("text")).alias("raw")).withColumn("bare", F.transform("raw", lambda w: F.btrim(w, F.lit(OUTER))))
+    core = both.select(name, F.filter("bare", lambda w: w != "").alias("core"), F.filter("raw", lambda w, i: F.get("bare", i) != "").alias("raw"))
+    core = core.withColumn("before", F.slice(F.concat(F.array(F.lit(".")), "raw"), F.lit(1), F.size("raw")))
 
     def kind(w: Column, before: Column) -> Column:
         first = F.substring(w, 1, 1)
@@ -61,22 +73,34 @@ def _template(rows: DataFrame, window: int, name: str, value: Column, opener: st
     listed = kinds.withColumn("t", F.zip_with("core", "kinds", lambda w, k: F.xxhash64(
         F.when(k == OPENER, F.lit(NAME)).otherwise(F.coalesce(k, F.lower(w))))))
     n = F.size("t")
-    # single elements are read in constant time; a slice would copy the whole array for each window
-    plain = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(
-        i.alias("i"), F.lit(window).alias("n"), F.xxhash64(*[F.get("t", i + k) for k in range(window)]).alias("hash"), F.lit(False).alias("runs"))))
-    # windows that hold a run of names, with the run as one token; heads: words that do not go on with a run, and the end
     heads = F.filter(F.transform("kinds", lambda k, p: F.when(~(_goes_on(k, F.get("kinds", p - 1))), p)), lambda p: p.isNotNull())
-    listed = listed.withColumn("heads", F.concat(heads, F.array(n)))
-    far = lambda p: F.get("heads", p + window)
-    starts = F.when((F.size("heads") <= n) & (F.size("heads") > window), F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("heads") - window - 1), lambda p: F.when(far(p) - F.get("heads", p) > window, p)), lambda p: p.isNotNull()))
-    merged = F.transform(starts, lambda p: F.struct(
-        F.get("heads", p).alias("i"), (far(p) - F.get("heads", p)).alias("n"),
-        F.xxhash64(*[F.get("t", F.get("heads", p + k)) for k in range(window)]).alias("hash"), F.lit(True).alias("runs")))
-    empty = F.array().cast("array<struct<i:int,n:int,hash:bigint,runs:boolean>>")
+    listed = _doubled(listed.withColumn("heads", F.concat(heads, F.array(n))), "t", window).withColumnRenamed("wide", "plain")
+    runs = F.when((F.size("heads") <= n) & (F.size("heads") > window), F.transform("heads", lambda h: F.get("t", h)))
+    listed = _doubled(listed.withColumn("runs", F.coalesce(runs, F.array().cast("array<bigint>"))), "runs", window).withColumnRenamed("wide", "joint")
+    return listed.select(name, "core", "kinds", "heads", F.slice("plain", F.lit(1), F.greatest(n - (window - 1), F.lit(0))).alias("plain"), "joint")
+
+
+def _holds_run(p: Column, window: int) -> Column:
+    """Whether the window of heads from p on holds a run; null, so no, where it is cut by the end."""
+    return F.get("heads", p + window) - F.get("heads", p) > window
+
+
+def _hashes(rows: DataFrame, window: int, name: str, value: Column) -> DataFrame:
+    """The value under its name and the hash, for each window that _template makes. No array goes with them."""
+    made = _tokens(rows, window, name, value)
+    return made.select(name, F.explode(F.concat("plain", F.filter("joint", lambda h, p: _holds_run(p, window)))).alias("hash"))
+
+
+def _template(rows: DataFrame, window: int, name: str, value: Column, opener: str | None = OPENER) -> DataFrame:
+    """For each window of each row: the value under its name, first word i, number of words and hash, whether runs are one placeholder
+    in it, and the row's arrays core and kinds, which every window carries. Openers are of kind `opener`; without one they stay words."""
+    made = _tokens(rows, window, name, value, opener)
+    plain = F.transform("plain", lambda h, i: F.struct(i.alias("i"), F.lit(window).alias("n"), h.alias("hash"), F.lit(False).alias("runs")))
+    joint = F.filter(F.transform("joint", lambda h, p: F.when(_holds_run(p, window), F.struct(
+        F.get("heads", p).alias("i"), (F.get("heads", p + window) - F.get("heads", p)).alias("n"), h.alias("hash"), F.lit(True).alias("runs")))),
+        lambda w: w.isNotNull())
     # exploded as an expression: of a column Spark would infer a filter and make the arrays again below
-    return listed.select(name, "core", "kinds", F.explode(F.concat(F.coalesce(plain, empty), F.coalesce(merged, empty))).alias("at")).select(
-        name, "core", "kinds", "at.*")
+    return made.select(name, "core", "kinds", F.explode(F.concat(plain, joint)).alias("at")).select(name, "core", "kinds", "at.*")
 
 
 def _goes_on(kind: Column, before: Column) -> Column:
@@ -124,8 +148,14 @@ def _covered(wins: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """One row per leaked document and item: doc (key), item_id, n_tokens of the item, n_covered, n_slots, same_values."""
     asked = keep(_asked(benchmark, window), "item-windows")
+    few = asked.count() <= BROADCAST_WINDOWS
+    hashes = asked.select("hash").distinct()
+    # which documents hold any of the windows: found by hashes alone, so that only these make rows with their words
+    held = keep(_hashes(docs, window, "doc", _doc()).join(F.broadcast(hashes) if few else hashes, "hash", "left_semi").select("doc").distinct(), "held")
+    held = held.withColumnRenamed("doc", "held_doc")
+    docs = docs.select("doc_id", "text").join(F.broadcast(held) if held.count() <= BROADCAST_WINDOWS else held, _doc() == F.col("held_doc"), "left_semi")
     seen = _template(docs, window, "doc", _doc())
-    if asked.count() <= BROADCAST_WINDOWS:  # slots are then made for the hits only
+    if few:  # slots are then made for the hits only
         hits = seen.join(F.broadcast(asked), "hash").withColumn("slots", _slots())
     else:
         hits = seen.select("doc", "i", "hash", _slots().alias("slots")).join(asked, "hash")

@@ -76,7 +76,31 @@ def test_templates_other_names_and_values(spark):
     assert {(r.doc.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
 
 
-def test_templates_find_every_passage(spark, documents, data):
+def test_template_passes_make_the_same_windows(spark):
+    texts = ["Anna Maria Smith met Bob in New York City on Monday and paid 12 dollars to the Old Town Hall Club there.",
+             "Yes. Mary Ann Lee. Tom and Ann went home by bus", "one two three four five six seven eight", "A B C D E F G H I J K L", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for window in (8, 5):
+        full = templates._template(rows, window, "k", F.col("doc_id"))
+        lean = templates._hashes(rows, window, "k", F.col("doc_id"))
+        assert Counter(map(tuple, lean.collect())) == Counter(map(tuple, full.select("k", "hash").collect()))
+        seen = full.collect()
+        assert {(r.i, r.n) for r in seen if r.k == 2} == {(i, window) for i in range(8 - window + 1)}
+        # equal tokens have equal hashes, others do not
+        key = lambda r: tuple("@" if k == "^" else k or w.lower() for w, k in zip(r.core[r.i:r.i + r.n], r.kinds[r.i:r.i + r.n]))
+        alone = [r for r in seen if not r.runs]
+        assert len({(key(r), r.hash) for r in alone}) == len({key(r) for r in alone}) == len({r.hash for r in alone})
+        assert any(r.runs and r.n > window for r in seen)
+    # a word of punctuation is none, so the word behind it still opens a sentence
+    odd = spark.createDataFrame([(1, "der Ball rollt. | Enno lief - Karl auch | . Tom ging heim")], "doc_id long, text string")
+    first = templates._template(odd, 8, "k", F.col("doc_id")).first()
+    assert list(zip(first.core, first.kinds)) == [("der", None), ("Ball", "@"), ("rollt", None), ("Enno", "^"), ("lief", None), ("Karl", "@"),
+                                                  ("auch", None), ("Tom", "@"), ("ging", None), ("heim", None)]
+
+
+@pytest.mark.parametrize("bound", [templates.BROADCAST_WINDOWS, 0])
+def test_templates_find_every_passage(spark, documents, data, monkeypatch, bound):
+    monkeypatch.setattr(templates, "BROADCAST_WINDOWS", bound)
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     found = {(r.doc.doc_id, r.item_id) for r in templates.leaks(documents, items).collect()}
     texts = [(r.item_id, r.text) for r in items.collect()]
