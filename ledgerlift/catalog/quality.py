@@ -12,6 +12,8 @@ from ledgerlift.operators import reconcile as R
 from ledgerlift.operators.extract_rows import as_items
 from ledgerlift.plans import pipeline
 from ledgerlift.sources import render, sinks
+from ledgerlift.sources.lines import document_lines
+from ledgerlift.sources.received import received
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
@@ -35,6 +37,44 @@ def statement_verdicts(spark, d):
                           F.col("Missing Gap Amount").alias("gap"), F.col("Remarks").alias("remarks")))
 
 
+def order_files(spark, d):
+    """A printed statement per order as files (path, length, content), and the paths asked for. By order number: not delivered, no UTF-8,
+    longer in the listing, a PDF without rows, no total, a wrong total, in order."""
+    kind, total = F.col("l_orderkey") % 7, F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
+    row = F.concat_ws("\t", F.lit("SHOP, PLACE"), F.concat(F.lit("ITEM "), render.lettered(F.col("l_partkey").cast("string"))), F.lit("1*2"),
+                      render.whole_text("l_quantity"), F.lit("0"), F.lit("1.00"), render.amount_text("l_extendedprice"), F.lit("0.00"), F.lit("0.00"))
+    # an order has a few lines, so its file is a row
+    orders = render.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"), total.alias("total"))
+    printed = F.concat(F.lit("GRAND TOTAL\t"), (F.col("total") + F.when(kind == 5, 10).otherwise(0)).cast("decimal(18,2)").cast("string"))
+    head = F.array(F.lit("BUSY ACCOUNTS"), F.lit("NORTH TRADERS"), F.lit("PARTY WISE PRODUCT WISE SALES"),
+                   F.lit("PARTY NAME\tPRODUCT\tPACKING\tQTY\tFREE\tRATE\tAMOUNT\tDISCOUNT\tTAX"))
+    scanned = F.array(*[F.lit("A PAGE THAT ONLY HAS WORDS AND NO ROWS OF ANY TABLE")] * 4)
+    body = F.when(kind == 3, scanned).when(kind == 4, F.concat(head, F.col("rows.row"))).otherwise(F.concat(head, F.col("rows.row"), F.array(printed)))
+    content = F.concat(F.encode(F.array_join(body, "\n"), "UTF-8"), F.when(kind == 1, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit(""))))
+    named = orders.select(F.concat(F.lit("in/"), F.col("l_orderkey").cast("string"), F.when(kind == 3, ".PDF").otherwise(".csv")).alias("path"), kind.alias("kind"),
+                          content.alias("content"))
+    files = named.where("kind <> 0").select("path", (F.octet_length("content") + F.when(F.col("kind") == 2, 1).otherwise(0)).cast("bigint").alias("length"), "content")
+    return files, named.select("path")
+
+
+@query("received_summary", "A11 S1 S10", f"""WITH t AS (SELECT l_orderkey AS k, sum({_PRICE}) AS s FROM lineitem GROUP BY 1),
+u AS (SELECT k, k % 7 AS kind, CASE WHEN k % 7 = 6 THEN s WHEN k % 7 = 5 THEN s + 10 ELSE 0 END AS want, CASE WHEN k % 7 >= 4 THEN s ELSE 0 END AS got FROM t)
+SELECT k || CASE WHEN kind = 3 THEN '.PDF' ELSE '.csv' END AS file_name,
+  ['File Not Found', 'Extraction Error', 'Crash', 'UNSUPPORTED_FORMAT', 'Grand Total Not Found', 'Mismatch Detected', 'Perfect Match'][kind + 1] AS status,
+  CAST(want AS DOUBLE) AS actual, CAST(got AS DOUBLE) AS extracted, CASE WHEN kind = 5 THEN 10.0 ELSE 0.0 END::DOUBLE AS gap,
+  ['File does not exist', 'unreadable', 'changed while read', 'Native Text Extracted but Regex Failed', 'Unable to auto-verify Grand Total',
+   'Check final amount / Gap found: 10.00', 'Values matching'][kind + 1] AS remarks FROM u""")
+def received_summary(spark, d):
+    """Per file asked for or received: one of seven verdicts; faulty files are rows from the source to the summary."""
+    docs = received(*order_files(spark, d))
+    lines = document_lines(docs.where(F.col("error").isNull()).select("doc_id", "text"))
+    items = T.delimited_items(lines, docs.select("doc_id", F.lit("BUSY_PARTY_PRODUCT_WISE").alias("format_id")))
+    s = R.run_summary(docs.drop("text"), R.written_totals(items), R.expected_total(lines))
+    return plain(s.select(F.col("File Name").alias("file_name"), F.col("Status").alias("status"), F.col("Actual Amount").alias("actual"),
+                          F.col("CSV Amount").alias("extracted"), F.col("Missing Gap Amount").alias("gap"), F.col("Remarks").alias("remarks")))
+
+
 @query("document_statuses", "A11", """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, ['File Not Found', 'Extraction Error', 'Crash', 'UNSUPPORTED_FORMAT', 'Grand Total Not Found', 'Mismatch Detected', 'Perfect Match'][o_orderkey % 7 + 1] AS status,
   CASE WHEN o_orderkey % 7 = 5 THEN 1.0 WHEN o_orderkey % 7 = 6 THEN 0.99 ELSE 0.0 END::DOUBLE AS gap FROM orders""")
 def document_statuses(spark, d):

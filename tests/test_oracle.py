@@ -8,7 +8,7 @@ from ledgerlift.catalog import ORACLES, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["usage_kpis", "log_page", "credit_admission", "statement_verdicts", "flat_items", "sales_book_items", "paged_invoice_items",
           "tax_invoice_items", "quarterly_totals", "column_position_items", "page_quality", "document_numbers", "store_location_split",
-          "layout_features", "template_score", "grand_total_reconcile", "row_flags", "live_kpis", "live_admission"]
+          "layout_features", "template_score", "grand_total_reconcile", "row_flags", "live_kpis", "live_admission", "received_summary"]
 
 
 @pytest.fixture(scope="module")
