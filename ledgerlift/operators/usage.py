@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.ordered import attach, first_rows, scan
-from ledgerlift.session import cut
+from ledgerlift.session import cut, staged
 
 MAX_BYTES = 15 * 1024 * 1024
 RETENTION_HOURS = 72
@@ -156,6 +156,7 @@ def admit(requests: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     be served and leaves. Every round removes at least one distinct need, so the
     rounds end, and each round is a block scan that splits a busy key over tasks.
     """
+    requests = staged(requests, "requests")
     sizes = requests.groupBy("api_key").agg(F.count("*").alias("n_req"))
     sized = attach(requests, sizes, ["api_key"], "log_id")
     cold = sized.where(F.col("n_req") <= fold_limit)
@@ -198,7 +199,7 @@ def _admit_in_rounds(requests: DataFrame) -> DataFrame:
         if cand.isEmpty():
             break
     marks = accepted.withColumn("accepted", F.lit(True))
-    return everyone.select("api_key", "log_id").join(marks, ["api_key", "log_id"], "left") \
+    return everyone.select("api_key", "log_id").join(marks.hint("merge"), ["api_key", "log_id"], "left") \
         .withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
