@@ -217,7 +217,7 @@ def request_outcomes(requests: DataFrame, users: DataFrame, fold_limit: int = FO
         F.when(F.col("crashes"), 0).otherwise(F.col("pages")).cast("bigint").alias("charge"),
         F.col("credits_remaining").alias("credits"))
     served = admit(asks, fold_limit).select("log_id", "accepted")
-    j = known.join(served, "log_id", "left")
+    j = known.join(served.hint("merge"), "log_id", "left")
     code = F.coalesce("gate", F.when(F.col("accepted") == F.lit(False), 402).when(F.col("crashes"), 500).otherwise(200))
     return j.select("log_id", "api_key", F.col("pages"), code.cast("int").alias("status_code"))
 

@@ -33,3 +33,11 @@ def test_many_facts_are_not_broadcast(spark):
 def test_edges_of_many_groups_are_not_broadcast(spark):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("p"))
     assert "Broadcast" not in plan(scan(df, ["k"], "p", sums={"n": F.lit(1)}))
+
+
+def test_outcomes_of_many_requests_are_not_broadcast(spark):
+    requests = spark.range(20_000).select(F.col("id").alias("log_id"), F.col("id").cast("string").alias("api_key"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+                                          F.lit(1).alias("file_size_bytes"), F.lit(1).alias("pages"), F.lit(False).alias("crashes"))
+    users = requests.select("api_key", F.lit("prepaid").alias("plan"), F.lit(5).cast("bigint").alias("credits_remaining"))
+    out = usage.request_outcomes(requests, users)
+    assert "Broadcast" not in plan(out) and out.where("status_code = 200").count() == 20_000
