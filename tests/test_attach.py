@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import ordered, usage
+from ledgerlift.operators.headers import header_facts
 from ledgerlift.operators.ordered import attach, scan
 
 
@@ -41,3 +42,10 @@ def test_outcomes_of_many_requests_are_not_broadcast(spark):
     users = requests.select("api_key", F.lit("prepaid").alias("plan"), F.lit(5).cast("bigint").alias("credits_remaining"))
     out = usage.request_outcomes(requests, users)
     assert "Broadcast" not in plan(out) and out.where("status_code = 200").count() == 20_000
+
+
+def test_facts_of_many_documents_are_not_broadcast(spark):
+    lines = spark.range(20_000).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).cast("bigint").alias("line_no"),
+                                       F.lit("STATION ROAD").alias("text"))
+    facts = header_facts(lines)
+    assert "Broadcast" not in plan(facts) and facts.where("address = 'STATION ROAD'").count() == 20_000
