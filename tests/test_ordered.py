@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerlift.operators import usage
+from ledgerlift.operators import ordered, usage
 from ledgerlift.operators.continuity import rebuild_rows
-from ledgerlift.operators.ordered import neighbours, scan
+from ledgerlift.operators.ordered import BLOCK_NO, in_blocks, neighbours, scan
 from ledgerlift.sources.lines import document_lines
 
 
@@ -101,3 +101,20 @@ def test_admission_rounds_equal_fold(spark):
         .withColumn("created_at", F.timestamp_seconds(F.col("sec") * 40).cast("timestamp"))
     for limit in (1000, 5):
         assert {r.log_id: r.accepted for r in usage.admit(df, fold_limit=limit).collect()} == want
+
+
+def test_scan_over_given_blocks_writes_once(spark, monkeypatch):
+    """Rows that lie in blocks need no partitioning of their own, also when some of them are left out; results are those of a plain scan."""
+    rng = random.Random(4)
+    rows = [(k, p, rng.choice([None, rng.randint(1, 9)])) for k, n in (("hot", 120), ("cold", 5), (None, 3)) for p in rng.sample(range(1000), n)]
+    df = spark.createDataFrame(rows, "k string, p long, m int")
+    cut = in_blocks(df, ["k"], "p", parts=7).localCheckpoint()
+    assert cut.select(BLOCK_NO).distinct().count() > 3
+    new = dict(fill={"f": "m"}, next_fill={"nf": "m"}, sums={"s": F.lit(1)}, lags={"l": "p"})
+    for some in ("p >= 0", "p % 3 > 0"):
+        want = sorted(map(str, scan(df.where(some), ["k"], "p", parts=5, **new).collect()))
+        names = []
+        with monkeypatch.context() as m:
+            m.setattr(ordered, "staged", lambda d, name: names.append(name) or d.localCheckpoint())
+            got = scan(cut.where(some), ["k"], "p", blocks=BLOCK_NO, keep=["p", "m"], **new)
+        assert names == ["scan"] and sorted(map(str, got.collect())) == want
