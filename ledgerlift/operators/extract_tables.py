@@ -34,20 +34,23 @@ def delimited_rows(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """Every line of a delimited report as the 16 logical fields plus its row type. formats: doc_id, format_id."""
     df = attach(lines.select("doc_id", "line_no", "text"), formats.select("doc_id", "format_id"), ["doc_id"], "line_no",
                 how="inner")
-    t = strip("text")
-    df = df.where(t != "").withColumn("cells", F.split(t, "\t"))
+    # settled: filters on these columns must not make the text and its cells again, in the join and once per field
+    df = settle(df, F.struct(strip("text").alias("t")), lambda v: v["t"] != "").withColumn("cells", F.split("t", "\t"))
+    t = F.col("t")
 
     def field(name: str) -> Column:
-        out = F.lit(None).cast("string")
+        at = F.lit(None).cast("int")
         for s in L.DELIMITED:
             if name in s["columns"]:
-                out = F.when(F.col("format_id") == s["format_id"], F.get("cells", F.lit(s["columns"][name]))).otherwise(out)
-        return F.coalesce(strip(out), F.lit(""))
+                at = F.when(F.col("format_id") == s["format_id"], F.lit(s["columns"][name])).otherwise(at)
+        return F.coalesce(strip(F.get("cells", at)), F.lit(""))
 
     subtotal = reduce(lambda a, b: a | b, [(F.col("format_id") == s["format_id"]) & t.rlike(s["subtotal"])
                                            for s in L.DELIMITED])
     kind = F.when(t.rlike(L.GRAND_TOTAL), "grand_total").when(subtotal, "subtotal").otherwise("data")
-    return df.select("doc_id", "line_no", "format_id", kind.alias("row_type"), *[field(f).alias(f) for f in L.FIELDS])
+    chosen_by = ["party_name", "product_name", "amount"]
+    df = settle(df, F.struct(kind.alias("row_type"), *[field(f).alias(f) for f in chosen_by]))
+    return df.select("doc_id", "line_no", "format_id", "row_type", *[F.col(f) if f in chosen_by else field(f).alias(f) for f in L.FIELDS])
 
 
 def delimited_items(lines: DataFrame, formats: DataFrame, subtotals: bool = False, unpriced: bool = False,
