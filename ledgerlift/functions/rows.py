@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.common import col, let, money
-from ledgerlift.functions.numbers import clean_int, clean_number, is_numeric
+from ledgerlift.functions.numbers import as_money, as_whole, clean_number, is_numeric, number_value
 
 MAX_TRAILING_JUNK = 4
 
@@ -77,23 +77,27 @@ def overflow_words(nums, n: int) -> Column:
 
 def positional_item(nums, dated) -> Column:
     """qty, free, rate, amount and percent by how many numbers the row has."""
-    a, has_date = col(nums), col(dated)
+    # each number is read once; `nums` itself says what was printed
+    values = F.transform(F.slice(col(nums), 1, 5), lambda x: number_value(x))
+    return let(values, lambda read: _positional(col(nums), read, col(dated)))
+
+
+def _positional(a: Column, read: Column, has_date: Column) -> Column:
     n = F.size(a)
-    v = [nth(a, i) for i in range(5)]
-    q, third, fourth = clean_number(v[0]), clean_number(v[2]), clean_number(v[3])
+    printed = nth(a, 1)
+    v = [F.get(read, F.lit(i)) for i in range(5)]
+    q, third, fourth = as_money(v[0]), as_money(v[2]), as_money(v[3])
     product = (q * third).cast("decimal(38,4)")
     fits = (q > 0) & (third > 0) & (F.abs(product - fourth) <= product * F.lit("0.3").cast("decimal(2,1)"))
-    no_free = v[1].isin("-", "0", "0.0", "0.00") & (fourth > third)
+    no_free = printed.isin("-", "0", "0.0", "0.00") & (fourth > third)
     priced = (n == 4) & (has_date | fits | no_free)   # qty, free, rate, amount
     percent4 = (n == 4) & ~priced                      # qty, rate, amount, percent
-    zero = F.lit("0")
     return F.struct(
-        clean_int(F.when(n >= 2, v[0]).otherwise(zero)).alias("qty"),
-        clean_int(F.when(priced | (n >= 5), v[1]).otherwise(zero)).alias("free"),
-        clean_number(F.when((n == 3) | percent4, v[1]).when(priced | (n >= 5), v[2]).otherwise(zero)).alias("rate"),
-        clean_number(F.when(n == 1, v[0]).when(n == 2, v[1]).when((n == 3) | percent4, v[2])
-                     .when(n >= 4, v[3]).otherwise(zero)).alias("amount"),
-        clean_number(F.when(percent4, v[3]).when(n >= 5, v[4]).otherwise(zero)).alias("percent"),
+        as_whole(F.when(n >= 2, v[0])).alias("qty"),
+        as_whole(F.when(priced | (n >= 5), v[1])).alias("free"),
+        as_money(F.when((n == 3) | percent4, v[1]).when(priced | (n >= 5), v[2])).alias("rate"),
+        as_money(F.when(n == 1, v[0]).when(n == 2, v[1]).when((n == 3) | percent4, v[2]).when(n >= 4, v[3])).alias("amount"),
+        as_money(F.when(percent4, v[3]).when(n >= 5, v[4])).alias("percent"),
     )
 
 
