@@ -11,6 +11,7 @@ from ledgerlift.operators import extract_rows as R
 from ledgerlift.operators import ordered
 from ledgerlift.operators.ordered import KEY_ROWS, attach
 from ledgerlift.session import CONF_CLEANUP, ensure_checkpoint_dir, released, staged
+from ledgerlift.sources import sinks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -86,3 +87,12 @@ def test_only_large_keys_are_salted(spark, monkeypatch):
     for out in (plain, salted):
         rows = out.collect()
         assert len(rows) == 3000 and all(r.v == want[r.k] for r in rows)
+
+
+def test_rows_of_a_nested_report_move_once(spark):
+    items = spark.range(50).select((F.col("id") % 3).cast("string").alias("doc_id"), F.col("id").alias("line_no"), (F.col("id") % 2).cast("string").alias("area"),
+                                   (F.col("id") % 5).cast("string").alias("store_name"), F.lit("").alias("store_location"),
+                                   *[F.lit(None).cast("string").alias(c) for c in ("description", "brand", "dosage", "packing", "qty", "free", "rate", "amount", "percent")])
+    nested = sinks.nest_report(items)
+    assert plan(nested).count("Exchange hashpartitioning") == 1  # three before
+    assert sum(len(s.Items) for r in nested.collect() for a in r.Areas for s in a.Stores) == 50
