@@ -11,6 +11,7 @@ from ledgerlift.operators import postprocess as P
 from ledgerlift.operators import reconcile as R
 from ledgerlift.operators.extract_rows import as_items
 from ledgerlift.plans import pipeline
+from ledgerlift.session import staged
 from ledgerlift.sources import render, sinks
 from ledgerlift.sources.lines import document_lines
 from ledgerlift.sources.received import received
@@ -120,7 +121,8 @@ t AS (SELECT l_orderkey, sum(amt) AS total FROM n GROUP BY 1)"""
 
 def _invoice_rows(spark, d):
     """Order lines as items; every third order carries its total as a last row, every fourth total is 1.50 off."""
-    s = render.sales(spark, d)
+    # read by the items, their totals and the printed totals: joined once
+    s = staged(render.sales(spark, d).select("l_orderkey", "seq", "l_extendedprice", "l_quantity"), "sales")
     amt = money("l_extendedprice")
     items = s.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("seq").cast("bigint").alias("line_no"), F.lit("SHOP").alias("store_name"),
                      F.concat(F.lit("item "), F.col("seq").cast("string"), F.when(F.col("seq") % 5 == 0, " discount").otherwise("")).alias("description"),

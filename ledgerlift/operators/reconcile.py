@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlift import lexicon as X
 from ledgerlift.functions.common import has_any, money, strip
 from ledgerlift.functions.numbers import clean_number, is_numeric
-from ledgerlift.operators.ordered import attach, scan
+from ledgerlift.operators.ordered import KEY_ROWS, attach, scan
 from ledgerlift.schemas import FACT
 
 # Money limits of the checks.
@@ -74,7 +74,7 @@ def output_rows(items: DataFrame, docs: DataFrame) -> DataFrame:
     kept_sum = F.when(drops, F.col("total") - last).otherwise(F.col("total"))
     gap = F.coalesce("grand_total", money(F.lit(0))) - kept_sum
     per_doc = per_doc.select(
-        "doc_id", F.when(drops, F.col("last.line_no")).alias("total_line"),
+        "doc_id", F.col("n").alias(KEY_ROWS), F.when(drops, F.col("last.line_no")).alias("total_line"),
         (F.col("n") - drops.cast("int")).alias("n_valid"), F.coalesce("grand_total", money(F.lit(0))).alias("doc_total"),
         F.when((F.coalesce(F.col("mode"), F.lit("")) == "PAGED_STORE_INVOICE") | F.coalesce(same_day, F.lit(False))
                | F.col("hint"), "INVOICE").otherwise("STATEMENT").alias("doc_type"),

@@ -96,3 +96,8 @@ def test_rows_of_a_nested_report_move_once(spark):
     nested = sinks.nest_report(items)
     assert plan(nested).count("Exchange hashpartitioning") == 1  # three before
     assert sum(len(s.Items) for r in nested.collect() for a in r.Areas for s in a.Stores) == 50
+
+
+def test_reconciled_rows_are_joined_once(spark):
+    df = QUERIES["grand_total_reconcile"](spark, DATA)
+    assert "lineitem.parquet" not in plan(df)
