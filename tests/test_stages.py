@@ -2,12 +2,14 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.catalog import QUERIES
 from ledgerlift.operators import extract_rows as R
+from ledgerlift.operators import extract_tables as T
 from ledgerlift.operators import ordered
 from ledgerlift.operators.ordered import KEY_ROWS, attach
 from ledgerlift.session import CONF_CLEANUP, ensure_checkpoint_dir, released, staged
@@ -101,3 +103,11 @@ def test_rows_of_a_nested_report_move_once(spark):
 def test_reconciled_rows_are_joined_once(spark):
     df = QUERIES["grand_total_reconcile"](spark, DATA)
     assert "lineitem.parquet" not in plan(df)
+
+
+def test_flat_rows_are_read_before_they_move(spark):
+    df = T.flat_items(spark.createDataFrame([("d", i, f"1 TOWN\tC{i}\tMEDICALS\tHEPP FORT SYP\t10*10\t5\t1\t2.50\t12.50\tLUPIN") for i in range(3)], "doc_id string, line_no long, text string"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\b(all2|all3|last_two|packs|shape)#", text)  # cells and amounts of a row were written and exchanged twice
+    assert [(r.store_name, r.description, r.packing, r.qty, r.free, float(r.rate), float(r.amount)) for r in df.orderBy("line_no").collect()] \
+        == [(f"C{i} MEDICALS", "HEPP FORT SYP", "10*10", 5, 1, 2.5, 12.5) for i in range(3)]
