@@ -111,3 +111,15 @@ def test_flat_rows_are_read_before_they_move(spark):
     assert not re.search(r"\b(all2|all3|last_two|packs|shape)#", text)  # cells and amounts of a row were written and exchanged twice
     assert [(r.store_name, r.description, r.packing, r.qty, r.free, float(r.rate), float(r.amount)) for r in df.orderBy("line_no").collect()] \
         == [(f"C{i} MEDICALS", "HEPP FORT SYP", "10*10", 5, 1, 2.5, 12.5) for i in range(3)]
+
+
+def test_page_totals_move_no_lines(spark):
+    before = stages(spark)
+    rows = [("d", p, 10 * p + i, t) for p in (1, 2) for i, t in enumerate([
+        "GST NO : 29A", f"M/S SHOP{p} MEDICAL STORE INVOICE NO. : {p}", f"TOWN DATE : 0{p}/02/2003 NO OF CASES : 3", "M/S LATER STORE INVOICE NO. : 9", f"Sub total : {p}.50"])]
+    df = T.paged_invoice_totals(spark.createDataFrame([*rows, ("e", 0, 0, "Sub total : 9.00")], "doc_id string, page_no int, line_no long, text string"))
+    text = plan(df)
+    assert "Window" not in text  # the lines of a page were brought together with their texts
+    assert not any(s.startswith(("scan-input-", "scan-")) for s in stages(spark) - before)
+    got = {r.doc_id: (float(r.grand_total), r.from_date, r.to_date, r.n_invoices) for r in df.collect()}
+    assert got == {"d": (4.0, "01/02/2003", "02/02/2003", 2), "e": (0.0, None, None, 0)}
