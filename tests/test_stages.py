@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlift.catalog import QUERIES
 from ledgerlift.operators import extract_rows as R
 from ledgerlift.operators import extract_tables as T
+from ledgerlift.operators import joined_rows as J
 from ledgerlift.operators import ordered
 from ledgerlift.operators.ordered import KEY_ROWS, attach
 from ledgerlift.session import CONF_CLEANUP, ensure_checkpoint_dir, released, staged
@@ -123,3 +124,12 @@ def test_page_totals_move_no_lines(spark):
     assert not any(s.startswith(("scan-input-", "scan-")) for s in stages(spark) - before)
     got = {r.doc_id: (float(r.grand_total), r.from_date, r.to_date, r.n_invoices) for r in df.collect()}
     assert got == {"d": (4.0, "01/02/2003", "02/02/2003", 2), "e": (0.0, None, None, 0)}
+
+
+def test_what_follows_a_row_is_found_once(spark):
+    lines = spark.createDataFrame([("1. 20 ALFA 3004 1.00 2.00 3.00 4.00 5.00 6.00 2. BETA", ""), ("3004 1 2 3 4 5 6", "")], "t string, ahead string")
+    df = J._machine(lines).select("t", J._exits().alias("to"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("filter(cuts#") <= 6  # once for each of nine states and twice in each before
+    # nothing open: the next row waits for its end in the line behind; an open row ends in the second line
+    assert [r.to[0] for r in df.collect()] == ["7", "0"] and [r.to[7] for r in df.collect()][1] == "0"
